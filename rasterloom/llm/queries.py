@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rasterloom.llm import packing, quality, token_counts
+from rasterloom.llm import packing, quality, secret_scan, suffix_tree_lm, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,14 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree_lm.score_texts(table(spark, sf_dir, "documents"))
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes are those of a byte-level model: UTF-8 bytes and one end mark."""
     return packing.pack(table(spark, sf_dir, "documents"), "octet_length(text) + 1")
@@ -34,5 +42,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_quality, op8_packing, op10_token_counts)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_quality, op5_lm_scoring, op7_secrets, op8_packing, op10_token_counts)}
 ORACLES: dict[str, str] = {}
