@@ -31,7 +31,9 @@ from pyspark.sql import functions as F
 
 from rasterloom.llm.common import Workspace, as_bytes, partitions, slices
 
-DEPTH, LEAST_SHARE, LANE, SLICE, END, PAD = 5, 5e-5, 256, 8 << 20, 10, 9
+DEPTH, LEAST_SHARE, LANE, SLICE, END, PAD = 5, 3e-6, 256, 8 << 20, 10, 9
+#: Contexts kept at most, those with the largest divergence first: the size of the model, whatever the corpus.
+MOST_STATES = 60_000
 PAYLOAD = -1
 
 
@@ -62,7 +64,7 @@ class Tree:
         counts = dict(found)
         counts.setdefault(b"", {})
         total = max(1, sum(counts[b""].values()))
-        kept = {b""}
+        gains: list[tuple[float, bytes]] = []
         for c, after in counts.items():
             up = counts.get(c[1:]) if c else None
             if up is None:
@@ -70,7 +72,8 @@ class Tree:
             n, m = sum(after.values()), sum(up.values())
             gain = sum(k * math.log(k / n * m / up[s]) for s, k in after.items() if s in up)
             if gain > 0.5 * max(1, len(after) - 1) * math.log(total):
-                kept.add(c)
+                gains.append((-gain, c))
+        kept = {b"", *(c for _, c in sorted(gains)[:MOST_STATES])}
         todo = list(kept)
         while todo:  # closed under prefixes and suffixes
             c = todo.pop()
@@ -98,19 +101,12 @@ class Tree:
             back = max(1, len(after))
             prob[i] = prob[up] * (back / (n + back))
             prob[i, cols] += ks / (n + back)
-            self.next[i] = self.next[up]
-            self.next[index[c[:-1]], self.column[c[-1]]] = i
-            # states whose suffix is c[:-1] come later and copy this row, or have come and follow below
+            # where c does not go on to a longer retained context, its suffix's next state is the longest
         for i, c in enumerate(self.states):
             if c:
-                row = self.next[index[c[1:]]].copy()
-                own = self.own(c, index, seen)
-                row[list(own)] = list(own.values())
-                self.next[i] = row
-            else:
-                own = self.own(c, index, seen)
-                self.next[0] = 0
-                self.next[0, list(own)] = list(own.values())
+                self.next[i] = self.next[index[c[1:]]]
+            own = self.own(c, index, seen)
+            self.next[i, list(own)] = list(own.values())
         self.logp = np.log10(prob).astype(np.float32).ravel()
         self.next = (self.next * self.width).ravel()  # states as row offsets
 
@@ -156,7 +152,7 @@ def learn(train: DataFrame, ws: Workspace) -> Tree:
         for batch in batches:
             for part in slices(batch, "text"):
                 held.append(grams(normal(as_bytes(part.column("text")))))
-                if sum(len(h[0]) for h in held) > 8_000_000:
+                if sum(len(h[0]) for h in held) > 4_000_000:
                     yield out()
         if held:
             yield out()
@@ -169,8 +165,9 @@ def learn(train: DataFrame, ws: Workspace) -> Tree:
         context = F.shiftright("gram", 8).alias("context")
         by = level.groupBy(context).agg(F.sum("n").alias("total"), F.collect_list(F.struct((F.col("gram").bitwiseAND(255)).alias("s"), "n")).alias("after"))
         # at most 1 / LEAST_SHARE contexts of a length, each with at most 256 bytes after it
-        for c, after in by.filter(F.col("total") >= least).select("context", "after").toLocalIterator():
-            found.append((int(c).to_bytes(8, "big")[8 - d :] if d else b"", {a.s: a.n for a in after}))
+        got = by.filter(F.col("total") >= least).select("context", F.col("after.s").alias("s"), F.col("after.n").alias("n")).toArrow()
+        for c, s, n in zip(got.column("context"), got.column("s"), got.column("n"), strict=True):
+            found.append((c.as_py().to_bytes(8, "big")[8 - d :] if d else b"", dict(zip(s.as_py(), n.as_py(), strict=True))))
         if d:
             shorter = level.groupBy(F.col("gram").bitwiseAND((1 << 8 * d) - 1).alias("gram")).agg(F.sum("n").alias("n"))
             kept = ws.save(shorter, f"grams{d}")
