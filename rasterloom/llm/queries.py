@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rasterloom.llm import packing, quality, secret_scan, suffix_tree_lm, token_counts
+from rasterloom.llm import jaccard_join, packing, quality, secret_scan, suffix_tree_lm, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +29,10 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree_lm.score_texts(table(spark, sf_dir, "documents"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -42,5 +46,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_quality, op5_lm_scoring, op7_secrets, op8_packing, op10_token_counts)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_quality, op5_lm_scoring, op6_jaccard_join, op7_secrets, op8_packing, op10_token_counts)}
 ORACLES: dict[str, str] = {}
