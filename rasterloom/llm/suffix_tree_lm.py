@@ -34,6 +34,8 @@ from rasterloom.llm.common import Workspace, as_bytes, partitions, slices
 DEPTH, LEAST_SHARE, LANE, SLICE, END, PAD = 5, 3e-6, 256, 8 << 20, 10, 9
 #: Contexts kept at most, those with the largest divergence first: the size of the model, whatever the corpus.
 MOST_STATES = 60_000
+#: Least divergence, in nats over all of a context's positions, for each of its next bytes but one.
+TEST = 2.0
 PAYLOAD = -1
 
 
@@ -63,7 +65,6 @@ class Tree:
     def __init__(self, found: list[tuple[bytes, dict[int, int]]], alpha: float = 1.0) -> None:
         counts = dict(found)
         counts.setdefault(b"", {})
-        total = max(1, sum(counts[b""].values()))
         gains: list[tuple[float, bytes]] = []
         for c, after in counts.items():
             up = counts.get(c[1:]) if c else None
@@ -71,7 +72,7 @@ class Tree:
                 continue
             n, m = sum(after.values()), sum(up.values())
             gain = sum(k * math.log(k / n * m / up[s]) for s, k in after.items() if s in up)
-            if gain > 0.5 * max(1, len(after) - 1) * math.log(total):
+            if gain > TEST * max(1, len(after) - 1):
                 gains.append((-gain, c))
         kept = {b"", *(c for _, c in sorted(gains)[:MOST_STATES])}
         todo = list(kept)
