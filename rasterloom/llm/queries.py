@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rasterloom.llm import jaccard_join, packing, quality, secret_scan, suffix_tree_lm, token_counts
+from rasterloom.llm import embedding_dedup, jaccard_join, nearest, packing, quality, secret_scan, suffix_tree_lm, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +22,14 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -46,5 +55,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_quality, op5_lm_scoring, op6_jaccard_join, op7_secrets, op8_packing, op10_token_counts)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_nearest, op2_embedding_dedup, op4_quality, op5_lm_scoring, op6_jaccard_join, op7_secrets, op8_packing, op10_token_counts)}
 ORACLES: dict[str, str] = {}
