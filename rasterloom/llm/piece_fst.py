@@ -72,6 +72,18 @@ class Transducer:
 
     def merged(self, text: str) -> list[str]:
         """Pieces that merging gives a short string: the best-scored adjacent pair first, the left one of equals."""
+        if len(text) <= SHORT:
+            few, score = list(text), self.score.get
+            while len(few) > 1:
+                top, at = None, 0
+                for i in range(len(few) - 1):
+                    w = score(few[i] + few[i + 1])
+                    if w is not None and (top is None or w > top):
+                        top, at = w, i
+                if top is None:
+                    break
+                few[at : at + 2] = [few[at] + few[at + 1]]
+            return few
         parts: list[str | None] = list(text)
         before, after = list(range(-1, len(parts) - 1)), list(range(1, len(parts) + 1))
         heap: list[tuple[float, int, str]] = []
