@@ -173,15 +173,15 @@ def kept_runs(mine: pa.Table, bits: pa.Table) -> pa.Table:
             doc = np.frombuffer(row["docs"], np.uint32)
             hit = np.unpackbits(np.frombuffer(hits[row["bucket"]], np.uint8), count=len(doc)).astype(bool)
             parts.append((doc[hit], *(np.frombuffer(row[c], kind)[hit] for c, kind in (("starts", np.uint32), ("windows", np.uint32), ("values", np.uint64)))))
-    if not parts:
+    if not any(len(p[0]) for p in parts):
         return pa.table({"doc_id": pa.array([], pa.int64()), "starts": pa.array([], pa.binary()), "windows": pa.array([], pa.binary()), "values": pa.array([], pa.binary())})
     doc, at, n, value = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.lexsort((at, doc))
     doc, at, n, value = doc[order], at[order], n[order], value[order]
-    cut = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
+    cut = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
     ends = np.append(cut[1:], len(doc))
     blobs = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary())
-    return pa.table({"doc_id": pa.array(ids[doc[cut]] if len(cut) else ids[:0]), "starts": blobs(at), "windows": blobs(n), "values": blobs(value)})
+    return pa.table({"doc_id": pa.array(ids[doc[cut]]), "starts": blobs(at), "windows": blobs(n), "values": blobs(value)})
 
 
 def strings(joined: DataFrame, shards: int, length: int) -> DataFrame:
