@@ -38,7 +38,7 @@ def session_summary(rows: DataFrame, key: str, day: str, value: str, kind: str,
 def dense_days(daily: DataFrame, key: list[str], day: str) -> DataFrame:
     """Every day of each key between its first and last, missing values NULL."""
     span = daily.groupBy(*key).agg(F.min(day).alias("_a"), F.max(day).alias("_b")) if key else daily.agg(F.min(day).alias("_a"), F.max(day).alias("_b"))
-    days = span.select(*key, F.explode(F.expr("sequence(_a, _b, interval 1 day)")).cast("date").alias(day))
+    days = span.select(*key, F.explode(F.expr("sequence(_a, _b, interval 1 day)")).alias(day))
     return days.join(daily, [*key, day], "left")
 
 
@@ -64,7 +64,7 @@ def window_normal(events: DataFrame, daily: DataFrame, k: int = 30) -> DataFrame
     """Median over other years of the rain total of the same k calendar days before; complete windows only."""
     years = daily.select(F.year("day").alias("y")).distinct()
     same = events.join(F.broadcast(years), F.col("y") != F.year("day")).withColumn("_end", F.add_months("day", 12 * (F.col("y") - F.year("day")).cast("int")))
-    back = same.select("event", "y", F.explode(F.expr(f"sequence(date_sub(_end, {k}), date_sub(_end, 1), interval 1 day)")).cast("date").alias("_d"))
+    back = same.select("event", "y", F.explode(F.expr(f"sequence(date_sub(_end, {k}), date_sub(_end, 1), interval 1 day)")).alias("_d"))
     totals = back.join(daily.select(F.col("day").alias("_d"), "rain"), "_d").groupBy("event", "y").agg(F.count("rain").alias("n"), F.sum("rain").alias("t")).filter(F.col("n") == k)
     return totals.groupBy("event").agg(F.median("t").alias("normal"), F.count("*").alias("years"))
 

@@ -7,9 +7,10 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def two_sided_normal(z: pd.Series) -> pd.Series:
     return z.map(lambda x: None if x is None or x != x else math.erfc(abs(x) / math.sqrt(2)))
 
@@ -34,7 +35,7 @@ def beta_fraction(a: float, b: float, x: float) -> float:
     return front * f
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def two_sided_t(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or x != x or n <= 0 else beta_fraction(n / 2, 0.5, n / (n + x * x)) for x, n in zip(t, df, strict=True)], dtype="float64")
 
