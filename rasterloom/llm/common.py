@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -45,6 +46,13 @@ class Workspace:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def freed(ws: Workspace, *tables: DataFrame) -> None:
+    """Tables that were read for the last time, and shuffles that nothing holds any more, leave the disk."""
+    ws.drop(*tables)
+    gc.collect()
+    ws.spark._jvm.System.gc()
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of a batch whose texts hold at most `limit` bytes, or one row."""
     col = batch.column(column)

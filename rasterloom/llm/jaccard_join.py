@@ -29,12 +29,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import Workspace, as_bytes, slices
+from rasterloom.llm.common import Workspace, as_bytes, freed, partitions, slices
 from rasterloom.llm.graph import components
 
 #: Hash groups whose counts give the order of shingles, and coordinates of a point.
-ORDER_GROUPS, DIMS, ORDER_PARTS = 1 << 18, 64, 64
-LEAF, BLOCK = 16, 512
+ORDER_GROUPS, DIMS, ORDER_PARTS = 1 << 18, 256, 64
+LEAF, BLOCK, MOST = 16, 512, 65_535
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -102,7 +102,7 @@ def least_overlap(n: np.ndarray | int, m: np.ndarray | int, percent: int) -> np.
 
 
 def points(docs: DataFrame, width: int, percent: int, order: np.ndarray) -> DataFrame:
-    """doc_id, n, fp (hash of the set), prefix (shingles of the nodes it enters), vec (counts), sets (the shingles)."""
+    """doc_id, n, fp (hash of the set), prefix (shingles of the nodes it enters), vec (counts)."""
     shared = docs.sparkSession.sparkContext.broadcast(order)  # one number for each of the fixed groups
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,23 +118,14 @@ def points(docs: DataFrame, width: int, percent: int, order: np.ndarray) -> Data
                     k = len(s) - need + 1 if len(s) else 0
                     by = rank[(s >> np.uint64(46)).astype(np.int64)]
                     prefix.append(s[np.lexsort((s, by))[:k]].tobytes())
-                    vec.append(np.bincount((s & np.uint64(DIMS - 1)).astype(np.int64), minlength=DIMS).astype(np.uint32).tobytes())
+                    held = np.bincount((s & np.uint64(DIMS - 1)).astype(np.int64), minlength=DIMS)
+                    # a count beyond 16 bits leaves the whole bound open rather than too low
+                    vec.append((held if held.max() < MOST else np.full(DIMS, MOST)).astype(np.uint16).tobytes())
                 yield pa.RecordBatch.from_pydict(
-                    {"doc_id": part.column("doc_id"), "n": pa.array(n, pa.int64()), "fp": pa.array(fp, pa.binary()), "prefix": pa.array(prefix, pa.binary()), "vec": pa.array(vec, pa.binary()), "sets": pa.array([squeeze(s) for s in sets], pa.binary())}
+                    {"doc_id": part.column("doc_id"), "n": pa.array(n, pa.int64()), "fp": pa.array(fp, pa.binary()), "prefix": pa.array(prefix, pa.binary()), "vec": pa.array(vec, pa.binary())}
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n long, fp binary, prefix binary, vec binary, sets binary")
-
-
-def squeeze(s: np.ndarray) -> bytes:
-    """The upper five bytes of each hash: enough to tell the shingles of two sets apart, and less to write."""
-    return s.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-
-
-def opened(b: bytes) -> np.ndarray:
-    x = np.zeros((len(b) // 5, 8), np.uint8)
-    x[:, :5] = np.frombuffer(b, np.uint8).reshape(-1, 5)
-    return x.view(">u8").ravel()
+    return docs.mapInArrow(run, "doc_id long, n long, fp binary, prefix binary, vec binary")
 
 
 def entries(points_: DataFrame) -> DataFrame:
@@ -150,24 +141,53 @@ def entries(points_: DataFrame) -> DataFrame:
     return points_.select("id", "prefix").mapInArrow(run, "node long, id long")
 
 
-def verified(pairs: DataFrame, points_: DataFrame, percent: int) -> DataFrame:
-    """u, v of the pairs (a, b) whose sets link."""
-    left = points_.select(F.col("id").alias("a"), F.col("sets").alias("sa"))
-    right = points_.select(F.col("id").alias("b"), F.col("sets").alias("sb"))
+def bounded(pairs: DataFrame, points_: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose counts leave room for enough overlap."""
+    left = points_.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("vec").alias("va"))
+    right = points_.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("vec").alias("vb"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            va, vb = counts(batch.column("va")), counts(batch.column("vb"))
+            need = least_overlap(batch.column("na").to_numpy(), batch.column("nb").to_numpy(), percent)
+            keep = pa.array(np.minimum(va, vb).sum(1) >= need)
+            yield pa.RecordBatch.from_pydict({"a": batch.column("a").filter(keep), "b": batch.column("b").filter(keep)})
+
+    near = (100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na"))
+    return pairs.join(left, "a").join(right, "b").filter(near).select("a", "b", "na", "nb", "va", "vb").mapInArrow(run, "a long, b long")
+
+
+def counts(col: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(col.to_pylist()), np.uint16).reshape(-1, DIMS).astype(np.int32)
+
+
+def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, ws: Workspace) -> DataFrame:
+    """u, v of the pairs (a, b) whose sets link. Sets are made anew from the texts of the documents in pairs alone."""
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                sets = shingles(as_bytes(part.column("text")), width)
+                yield pa.RecordBatch.from_pydict({"id": part.column("doc_id"), "set": pa.array([s.tobytes() for s in sets], pa.binary())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok, last, mine = [], None, None
-            for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
-                if last is None or x != last:
-                    last, mine = x, opened(x.as_py())
-                other = opened(y.as_py())
-                both = len(np.intersect1d(mine, other))
-                ok.append(100 * both >= percent * (len(mine) + len(other) - both))
+            ok = []
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                one, two = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
+                both = len(np.intersect1d(one, two, assume_unique=True))
+                ok.append(100 * both >= percent * (len(one) + len(two) - both))
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_pydict({"u": batch.column("a").filter(keep), "v": batch.column("b").filter(keep)})
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "u long, v long")
+    sets = docs.join(ids, "doc_id", "left_semi").mapInArrow(shingled, "id long, set binary")
+    sets = ws.save(sets, "sets")
+    freed(ws)
+    full = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+    links = ws.save(full.select("a", "b", "x", "y").mapInArrow(run, "u long, v long"), "links")
+    freed(ws, sets)
+    return links
 
 
 class Boxes:
@@ -197,34 +217,59 @@ class Boxes:
         return self.order[at]
 
 
+def leaves(node: np.ndarray, comp: np.ndarray, sizes: np.ndarray, vecs: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of pairs within small nodes, in order of node, of different components, that survive the bound."""
+    one, two = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for step in range(1, LEAF):
+        at = np.flatnonzero((node[step:] == node[:-step]) & (comp[step:] != comp[:-step]))
+        x, y = sizes[at], sizes[at + step]
+        at = at[(100 * x >= percent * y) & (100 * y >= percent * x)]
+        for s in range(0, len(at), 50_000):
+            part = at[s : s + 50_000]
+            part = part[np.minimum(vecs[part], vecs[part + step]).sum(1) >= least_overlap(sizes[part], sizes[part + step], percent)]
+            one.append(part)
+            two.append(part + step)
+    return np.concatenate(one), np.concatenate(two)
+
+
 def crossing(points_: DataFrame, entered: DataFrame, found: DataFrame, ws: Workspace, percent: int) -> DataFrame:
     """a, b of pairs in one node but of different components that survive the bound."""
     labelled = entered.join(found.select(F.col("node").alias("id"), "component"), "id", "left").select("node", "id", F.coalesce("component", "id").alias("component"))
     labelled = ws.save(labelled, "labelled")
-    mixed_ = labelled.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("node", "n")
-    mixed_ = ws.save(mixed_, "mixed")
+    mixed_ = labelled.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("members"), F.sum(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 40))).alias("also")).filter("lo < hi")
+    # nodes of the same points, as those of one shared passage, are searched once
+    mixed_ = ws.save(mixed_.groupBy("lo", "hi", "n", "members", "also").agg(F.min("node").alias("node")).select("node", "n"), "mixed")
     members = labelled.join(mixed_, "node").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     members = members.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int"))
-    # a member goes to every pair of blocks that its block is in
-    members = members.select("node", "id", "component", "block", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
-    members = members.select("node", "id", "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") <= F.col("other")).alias("first"), (F.col("block") >= F.col("other")).alias("second"))
+    # a member goes to every pair of blocks that its block is in; small nodes share a task
+    members = members.select("node", "id", "component", "n", "block", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
+    small, parts = F.col("n") <= LEAF, partitions(mixed_.agg(F.sum("n")).first()[0] or 0, 50_000)
+    members = members.select(
+        "node", "id", "component", small.alias("small"), F.when(small, F.pmod("node", F.lit(parts))).otherwise(F.col("node")).alias("place"),
+        F.when(small, -1).otherwise(F.least("block", "other")).alias("i"), F.greatest("block", "other").alias("j"),
+        (F.col("block") <= F.col("other")).alias("first"), (F.col("block") >= F.col("other")).alias("second"),
+    )
     members = members.join(points_.select("id", "vec", F.col("n").alias("size")), "id")
 
     def search(table: pa.Table) -> pa.Table:
-        ids, comp, sizes = (table.column(c).to_numpy() for c in ("id", "component", "size"))
-        vecs = np.stack([np.frombuffer(v, np.uint32) for v in table.column("vec").to_pylist()]).astype(np.int64)
+        table = table.sort_by([("node", "ascending"), ("id", "ascending")])
+        ids, comp, sizes, node = (table.column(c).to_numpy() for c in ("id", "component", "size", "node"))
+        vecs = counts(table.column("vec"))
+        if table.column("small")[0].as_py():
+            x, y = leaves(node, comp, sizes, vecs, percent)
+            pair = np.unique(np.stack([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])]), axis=1)
+            return pa.table({"a": pair[0], "b": pair[1]})
         one, two = (np.flatnonzero(table.column(c).to_numpy()) for c in ("first", "second"))
         tree = Boxes(vecs[two], sizes[two])
-        a, b = [], []
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i in one:
             hit = two[tree.near(vecs[i], int(sizes[i]), percent)]
             hit = hit[(comp[hit] != comp[i]) & (ids[hit] != ids[i])]
             a.append(np.minimum(ids[hit], ids[i]))
             b.append(np.maximum(ids[hit], ids[i]))
-        none = [np.zeros(0, np.int64)]
-        return pa.table({"a": np.concatenate(none + a), "b": np.concatenate(none + b)})
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
-    return members.groupBy("node", "i", "j").applyInArrow(search, "a long, b long").distinct()
+    return members.groupBy("place", "i", "j").applyInArrow(search, "a long, b long").distinct()
 
 
 def join(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
@@ -235,21 +280,28 @@ def join(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     every = ws.save(points(rows, width, percent, order), "points")
     full = every.filter("n > 0 and doc_id is not null")
     same = ws.save(full.groupBy("fp").agg(F.min("doc_id").alias("id")), "same")
-    # one point for each set; of repeated rows of an id any one, since they agree with it in fp
-    kept = full.withColumnRenamed("doc_id", "id").join(same, ["id", "fp"], "left_semi").select("id", "n", "prefix", "vec", "sets")
+    # one point for each set; rows that repeat an id with other text are points of that id each, and texts below
+    kept = full.withColumnRenamed("doc_id", "id").join(same, ["id", "fp"], "left_semi").select("id", "n", "prefix", "vec")
     kept = ws.save(kept.dropDuplicates(["id"]) if every.count() != every.select("doc_id").distinct().count() else kept, "kept")
+    slim = ws.save(every.select("doc_id", "n", "fp"), "slim")
+    freed(ws, every)
     entered = entries(kept)
-    nodes = ws.save(entered.groupBy("node").agg(F.min("id").alias("star"), F.count("*").alias("n")).filter("n > 1").select("node", "star"), "nodes")
+    # several centres for each node, so that a point that is far from one still meets its group
+    centres = F.array_distinct(F.array(F.min("id"), F.max("id"), F.min(F.struct(F.xxhash64("id"), "id"))["id"])).alias("stars")
+    nodes = ws.save(entered.groupBy("node").agg(centres, F.count("*").alias("n")).filter("n > 1").select("node", "stars"), "nodes")
     # only nodes with several points matter from here on
     shared = ws.save(entered.join(nodes, "node"), "shared")
-    spokes = shared.filter("id <> star").select(F.col("star").alias("a"), F.col("id").alias("b")).distinct()
-    stars = ws.save(verified(ws.save(spokes, "spokes"), kept, percent), "stars")
+    spokes = shared.select("id", F.explode("stars").alias("star")).filter("id <> star").select(F.least("id", "star").alias("a"), F.greatest("id", "star").alias("b"))
+    spokes = ws.save(spokes.distinct(), "spokes")
+    texts = rows.filter("doc_id is not null")
+    stars = verified(ws.save(bounded(spokes, kept, percent), "near"), texts, width, percent, ws)
     found = components(stars, ws)
     loose = ws.save(crossing(kept, shared.select("node", "id"), found, ws, percent), "loose")
-    more = ws.save(verified(loose, kept, percent), "more")
-    if more.limit(1).count():
-        found = components(stars.union(more), ws)
+    freed(ws, spokes, nodes)
+    if loose.limit(1).count():
+        more = verified(loose, texts, width, percent, ws)
+        found = components(stars.union(more), ws) if more.limit(1).count() else found
     ids = same.join(found.select(F.col("node").alias("id"), "component"), "id", "left").select("fp", F.coalesce("component", "id").alias("component"))
     ids = ws.save(ids, "ids")
-    out = every.select("doc_id", "n", "fp", F.expr("n > 0 and doc_id is not null").alias("real"))
+    out = slim.select("doc_id", "n", "fp", F.expr("n > 0 and doc_id is not null").alias("real"))
     return out.join(ids, "fp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("real"), F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))

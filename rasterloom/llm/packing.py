@@ -92,7 +92,7 @@ def pieces(docs: DataFrame, size: str, largest: int) -> DataFrame:
     return (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.expr(size).cast("long").alias("_n"))
         .select("doc_id", "_n", F.explode(F.sequence(F.lit(0), F.coalesce(n, F.lit(1)) - 1)).alias("piece"))
-        .select("doc_id", "piece", (F.col("piece") * F.lit(largest).cast("long")).alias("piece_start"), F.least(F.lit(largest).cast("long"), F.col("_n") - F.col("piece") * F.lit(largest).cast("long")).alias("piece_size"))
+        .select("doc_id", "piece", (F.col("piece") * F.lit(largest).cast("long")).alias("piece_start"), F.when(F.col("_n").isNotNull(), F.least(F.lit(largest).cast("long"), F.col("_n") - F.col("piece") * F.lit(largest).cast("long"))).alias("piece_size"))
     )
 
 

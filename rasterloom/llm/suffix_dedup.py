@@ -18,7 +18,6 @@ An empty table gives an empty result; extra columns are left aside.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -26,10 +25,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import Workspace, as_bytes, partitions, slices
+from rasterloom.llm.common import Workspace, as_bytes, freed, partitions, slices
 from rasterloom.llm.induced import suffix_order
 
 GRAM, SLICE, BUCKETS, SHARD = 24, 2 << 20, 64, 4 << 20
@@ -298,7 +297,6 @@ def may_repeat(names: pa.Array, which: np.ndarray, length: int) -> np.ndarray:
 
 def intervals(docs: DataFrame, length: int, ws: Workspace) -> tuple[DataFrame, DataFrame]:
     """Rows of documents (DOCS, with `copy`: equal to an earlier document), and stretches s, e to remove by doc_id."""
-    spark = docs.sparkSession
     kept = ws.save(described(docs, length), "runs")
     every = ws.save(unpacked(kept), "docs")
     real = every.filter("doc_id is not null")
@@ -307,23 +305,16 @@ def intervals(docs: DataFrame, length: int, ws: Workspace) -> tuple[DataFrame, D
     cells = kept.select("slice", "bucket", "docs", "starts", "windows", "values")
     found = cells.groupBy("slice").cogroup(bits.groupBy("slice")).applyInArrow(kept_runs, "doc_id long, starts binary, windows binary, values binary")
     found = ws.save(found.join(first.select(F.col("first").alias("doc_id")), "doc_id", "left_semi"), "found")
-    freed(spark, ws, kept, bits)
+    freed(ws, kept, bits)
     windows = found.agg(F.sum(F.length("windows") / 4 * (length + 40))).first()[0] or 0
     shards = partitions(int(windows), SHARD)
     rows = strings(docs.join(found, "doc_id"), shards, length)
     cut = ws.save(rows.groupBy("shard").applyInArrow(lambda t: later(t, length), "doc_id long, s long, e long"), "cut")
-    freed(spark, ws, found)
+    freed(ws, found)
     copy = F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False))
     return every.join(first, "fp", "left").select("doc_id", "n", "sha", copy.alias("copy")), cut
 
 
-def freed(spark: SparkSession, ws: Workspace, *tables: DataFrame) -> None:
-    """Tables that were read for the last time, and the shuffles behind them, leave the disk."""
-    ws.drop(*tables)
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def one_each(docs: DataFrame) -> DataFrame:
     """doc_id, text: a row for each id; rows that repeat one are put together only where there are any."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -255,7 +255,7 @@ def looked_up(payload: pa.Table, counts: pa.Table) -> pa.Table:
     parts = sorted(zip(counts.column("first").to_pylist(), counts.column("c").to_pylist(), strict=True))
     c = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64) for _, x in parts)])
     of = np.repeat(np.arange(len(ids)), per)
-    sums = lambda v: np.bincount(of, v, minlength=len(ids))
+    sums = lambda v: np.bincount(of, v, minlength=len(ids)).astype(float)
     n = c[word] if len(word) else np.zeros(0, np.int64)
     null = np.frombuffer(row["e"][8 * len(ids) :], np.uint8).astype(bool)
     return pa.table(
