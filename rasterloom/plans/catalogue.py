@@ -386,7 +386,7 @@ def l01_least_cloud(t):
     return scenes.least_cloud(t, 20, 5).select("scene", "cloud")
 
 
-@query("l05_quantile_picks", S.SERIES, "with o as (select *, row_number() over (order by ha, site, yr) as k, count(*) over () as n from t) select site, yr, ha from o where k in (floor(n * 0.35) + 1, floor(n * 0.92) + 1)")
+@query("l05_quantile_picks", S.SERIES, "with o as (select *, row_number() over (order by ha, site, yr) as k, count(*) over () as every from t) select site, yr, ha from o where k in (floor(every * 0.35) + 1, floor(every * 0.92) + 1)")
 def l05_quantile_picks(t):
     n = t.count()
     return t.withColumn("k", F.row_number().over(Window.orderBy("ha", "site", "yr"))).filter(F.col("k").isin(int(n * 0.35) + 1, int(n * 0.92) + 1)).select("site", "yr", "ha")
