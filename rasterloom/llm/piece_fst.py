@@ -8,14 +8,16 @@ negative. For models that merge pairs (BPE) a sum of scores is not what the libr
 first composed with the acceptor of adjacent pieces that merging leaves side by side, which accepts one path of a
 prefix, so that the shortest path is the library's. A state of that lattice is a position and its last piece.
 
-No piece has the mark behind another character (checked when compiling), so a text is cut before each run of marks and
-paths of short parts are kept in a bounded cache. Decoding joins pieces, bytes and marks back to text.
+No piece has the mark behind another character (checked when compiling), so a text is cut before each run of marks;
+between letters and other characters it is cut where no piece joins them. Paths of short parts are kept in a bounded
+cache. Decoding joins pieces, bytes and marks back to text.
 
 Null and empty texts have no pieces. Repeated rows are encoded one by one; extra columns are left aside.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import re
@@ -41,9 +43,9 @@ class Transducer:
         self.unk = sp.unk_id()
         self.pieces = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if sp.is_byte(i)}
-        self.byte_of = {i: b for b, i in self.bytes.items()}
+        byte_of = {i: b for b, i in self.bytes.items()}
         plain = [i for i in range(len(self.pieces)) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
-        self.control = {i for i in range(len(self.pieces)) if sp.is_control(i)}
+        self.output = [bytes([byte_of[i]]) if i in byte_of else b"" if sp.is_control(i) else p.encode() for i, p in enumerate(self.pieces)]
         self.score = {self.pieces[i]: sp.get_score(i) for i in plain}
         self.id = {self.pieces[i]: i for i in plain}
         self.longest = max(map(len, self.id), default=1)
@@ -63,7 +65,10 @@ class Transducer:
             for c in p:
                 node = node.setdefault(c, {})
             node[""] = p
-        self.part = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+        # no piece joins a letter or digit to another character, but for those taken out here: a part ends between them
+        pairs = {p[i : i + 2] for p in self.id for i in range(len(p) - 1) if p[i] != MARK}
+        out = "".join(sorted({c for two in pairs if two[0].isalnum() != two[1].isalnum() for c in two if c.isalnum()}))
+        self.part = re.compile(f"{MARK}*[^\\W_{re.escape(out)}]+|{MARK}*(?:[^\\w{MARK}]|[_{re.escape(out)}])+|{MARK}+")
         self.known: dict[str, bytes] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
 
@@ -120,42 +125,66 @@ class Transducer:
             self.pairs[a, b] = found
         return found
 
+    def arcs(self, part: str, i: int) -> list[str]:
+        """Pieces that the trie reads from position i, shorter ones first; a character that no piece holds is one too."""
+        node, found = self.trie, []
+        for c in part[i : i + self.longest]:
+            node = node.get(c)
+            if node is None:
+                break
+            if "" in node:
+                found.append(node[""])
+        if not found or len(found[0]) > 1:
+            found.insert(0, part[i])
+        return found
+
     def path(self, part: str) -> list[str]:
         """Pieces and single unknown characters on the shortest path through the lattice of one part."""
-        n, trie, known = len(part), self.trie, self.pairs
-        last: list[str | None] = [None] * (n + 1)  # the last piece on the path to each position
+        return self.accepted(part) if self.merges else self.lightest(part)
+
+    def lightest(self, part: str) -> list[str]:
+        """The path of least weight, position by position."""
+        n = len(part)
+        last: list[str] = [""] * (n + 1)  # the last piece on the path to each position
         best = [0.0] + [float("inf")] * n
-        unknown = min(self.score.values(), default=0.0) - 10 if not self.merges else 0.0
+        unknown = min(self.score.values(), default=0.0) - 10
         for i in range(n):
-            node, j, before = trie, i, last[i]
-            arcs = []
-            while j < n:
-                node = node.get(part[j])
-                if node is None:
-                    break
-                j += 1
-                if "" in node:
-                    arcs.append((j, node[""]))
-            if not arcs or arcs[0][0] != i + 1:
-                arcs.append((i + 1, part[i]))  # a character that no piece holds
-            for j, p in arcs:
-                if not self.merges:
-                    w = best[i] - self.score.get(p, unknown)
-                    if w < best[j]:
-                        best[j], last[j] = w, p
-                elif last[j] is None:  # the acceptor leaves one path to each position
-                    pair = (before, p) if i else (p, "")
-                    ok = known.get(pair)
-                    if ok is None:
-                        ok = self.adjacent(before, p) if i else self.alone(p)
-                    if ok:
-                        last[j] = p
+            for p in self.arcs(part, i):
+                w, j = best[i] - self.score.get(p, unknown), i + len(p)
+                if w < best[j]:
+                    best[j], last[j] = w, p
         out, j = [], n
         while j:
             out.append(last[j])
             j -= len(last[j])
         return out[::-1]
 
+    def accepted(self, part: str) -> list[str]:
+        """The path that the acceptor of merging leaves. One path leads to each position, so a position without a way on
+        is on no path to the end: arcs are followed depth first, longest first, and such positions are not entered again."""
+        out: list[str] = []
+        ways, lost, i, n, known = [self.arcs(part, 0)], set(), 0, len(part), self.pairs
+        while i < n:
+            way = ways[-1]
+            while way:
+                p = way.pop()
+                if i + len(p) in lost:
+                    continue
+                ok = known.get((out[-1], p) if out else (p, ""))
+                if ok is None:
+                    ok = self.adjacent(out[-1], p) if out else self.alone(p)
+                if ok:
+                    out.append(p)
+                    i += len(p)
+                    if i < n:
+                        ways.append(self.arcs(part, i))
+                    break
+            else:
+                lost.add(i)
+                ways.pop()
+                i -= len(out.pop())
+        return out
+
     def alone(self, p: str) -> bool:
         """Whether merging makes the characters of p one piece."""
         found = self.pairs.get((p, ""))
@@ -190,21 +219,21 @@ class Transducer:
 
     def decode(self, ids: bytes) -> str:
         """Text of ids: the transducer read from its output side."""
-        out = bytearray()
-        for i in array("i", ids):
-            if i in self.byte_of:
-                out.append(self.byte_of[i])
-            elif i not in self.control:
-                out += self.pieces[i].encode()
-        text = out.decode("utf-8", "replace").replace(MARK, " ")
+        text = b"".join(map(self.output.__getitem__, array("i", ids))).decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if self.lead and text.startswith(" ") else text
 
 
+@functools.lru_cache(maxsize=2)
+def compiled(path: str) -> Transducer:
+    """The transducer of a model, kept by a Python worker from task to task."""
+    return Transducer(path)
+
+
 def encode(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
     """doc_id, n_pieces, ids_sha256 (of the ids as 32-bit little-endian numbers), round_trip (whether decoding gives the text back)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fst = Transducer(path)
+        fst = compiled(path)
         for batch in batches:
             for part in slices(batch, "text"):
                 cols: dict[str, list] = {"n": [], "sha": [], "same": [], "ids": []}
@@ -228,7 +257,7 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
     """doc_id, text of rows with ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fst = Transducer(path)
+        fst = compiled(path)
         for batch in batches:
             text = [None if i is None else fst.decode(array("i", i).tobytes()) for i in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "text": pa.array(text, pa.string())})
