@@ -1,20 +1,24 @@
 """LM scoring (5): a probabilistic suffix tree over the bytes of normalised text, beside an add-one unigram base.
 
 A text is lower-cased (A-Z), cut into words at white space and joined by single spaces; a line feed marks its end and
-tabs stand before its start, neither of which a word can hold. All grams of DEPTH + 1 bytes of the training texts are
-counted. A context is a candidate if its share of the positions is at least LEAST_SHARE, so there are at most
-DEPTH / LEAST_SHARE of them whatever the corpus. A candidate is retained where a divergence test tells its next-byte
-distribution from its suffix's; the retained contexts are closed under prefixes and suffixes, so that the longest
-retained suffix of a history follows from the last state and byte alone. Distributions are smoothed towards the
-suffix's, and at the root over all bytes. Scoring walks the state machine over pieces of texts side by side; a piece
-begins DEPTH bytes early, after which its state is the one that the whole text would have.
+tabs stand before its start, neither of which a word can hold. All grams of LONGEST + 1 bytes are counted: their number
+and that of the contexts follow the corpus, and no share or number of states bounds them. A context of more than LOW
+bytes is retained if it occurs LEAST times or more in the training texts and a divergence test tells its next-byte
+distribution from its suffix's, or if a longer retained context ends in it; contexts of up to LOW bytes all are.
+Distributions are smoothed towards the suffix's, and at the root over all bytes.
+
+The tree is never in one place. Each slice of texts keeps its normalised text in a written table and sends its distinct
+grams with their training counts, in buckets by the last LOW + 1 bytes of the context, so that a bucket has whole
+branches. There counts are added up, contexts tested, and each gram's log probability goes back to the slices that have
+it. Only contexts of up to LOW bytes, at most 256 ** LOW of them, are broadcast, all of them.
 
 The unigram counts need each word's count over all training texts. Each slice of texts keeps its (document, word,
-count) triples in a written table and sends its distinct words, in buckets by hash, to where they are added up; the
-totals come back to the slice as arrays. Words are compared as bytes, and no vocabulary is broadcast.
+count) triples and sends its distinct words, in buckets by hash, to where they are added up; the totals come back to
+the slice as arrays. Words are compared as bytes, and no vocabulary is broadcast.
 
 Null texts are empty: one end token. Rows with a null id are trained on (no remainder holds them out). Repeated rows
 count each time. Without training rows every count is 0 and the tree is its root. Extra columns are left aside.
+Grams, Tree and DEPTH are the form of a smaller tree in memory, as a state machine; score_texts does not use it.
 """
 
 from __future__ import annotations
@@ -29,14 +33,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import Workspace, as_bytes, partitions, slices
+from rasterloom.llm.common import Workspace, as_bytes, freed, partitions, slices
 
-DEPTH, LEAST_SHARE, LANE, SLICE, END, PAD = 5, 3e-6, 256, 8 << 20, 10, 9
-#: Contexts kept at most, those with the largest divergence first: the size of the model, whatever the corpus.
+DEPTH, LANE, END, PAD = 5, 256, 10, 9
+#: Bytes of the longest contexts, of those that are broadcast, and least occurrences of a longer one.
+LONGEST, LOW, LEAST = 7, 2, 2
+SLICE = 4 << 20
+#: Contexts that the state machine in memory keeps at most, those with the largest divergence first.
 MOST_STATES = 60_000
 #: Least divergence, in nats over all of a context's positions, for each of its next bytes but one.
 TEST = 2.0
-PAYLOAD = -1
+PAYLOAD, WORDS, GRAMS, SHORT = 0, 1, 2, 3
+#: Bytes of normalised text to a bucket of grams.
+BUCKET = 4 << 20
 
 
 def normal(texts: list[bytes]) -> list[list[bytes]]:
@@ -138,59 +147,125 @@ class Tree:
         return np.bincount(of, got, minlength=len(words))
 
 
-def learn(train: DataFrame, ws: Workspace) -> Tree:
-    """A tree from the column text of all rows."""
+def packed(x: np.ndarray) -> bytes:
+    """Integers or floats, compressed one byte of each after the other."""
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T)
+    return pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(b: bytes, n: int, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(b, n * width, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, n).T).view(kind).ravel()
+
+
+def keys(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte of each text and its end: its context, last byte highest, and itself; and the texts' sizes."""
+    pad = bytes([PAD]) * LONGEST
+    buf = np.frombuffer(b"".join(pad + b" ".join(w) + b"\n" for w in words), np.uint8)
+    sizes = np.array([sum(map(len, w)) + max(0, len(w) - 1) + 1 for w in words], np.int64)
+    own = buf[LONGEST:] != PAD
+    k = buf[LONGEST:].astype(np.uint64)
+    for j in range(1, LONGEST + 1):
+        k |= buf[LONGEST - j : len(buf) - j].astype(np.uint64) << np.uint64(64 - 8 * j)
+    return k[own], sizes
+
+
+def distinct(k: np.ndarray) -> np.ndarray:
+    """Sorted distinct values, by sorting: faster here than by hashing."""
+    k = np.sort(k)
+    return k[np.concatenate([[True], k[1:] != k[:-1]])] if len(k) else k
+
+
+def dealt(k: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of each key, by the last LOW + 1 bytes of its context, and the order by bucket."""
+    h = (k >> np.uint64(64 - 8 * (LOW + 1))) * np.uint64(0x9E3779B97F4A7C15)
+    bucket = ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+    return bucket, np.argsort(bucket, kind="stable")
+
+
+def narrowed(k: np.ndarray, d: int) -> np.ndarray:
+    """Keys of the last d bytes of the context."""
+    return ((k >> np.uint64(64 - 8 * d)) << np.uint64(8) if d else np.zeros_like(k)) | (k & np.uint64(255))
+
+
+def short(k: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
+    """Counts of keys of d bytes of context and of their contexts, for d up to LOW, from keys of LOW bytes."""
+    out: dict[str, np.ndarray] = {}
+    for d in range(LOW + 1):
+        u, at = np.unique(k >> np.uint64(8 * (LOW - d + 1)) << np.uint64(8) | k & np.uint64(255), return_inverse=True)
+        ks = np.bincount(at, n, len(u))
+        c, of = np.unique(u >> np.uint64(8), return_inverse=True)
+        out |= {f"key{d}": u, f"n{d}": ks, f"context{d}": c, f"total{d}": np.bincount(of, ks, len(c)), f"after{d}": np.bincount(of, minlength=len(c))}
+    return out
+
+
+def looked(table: np.ndarray, values: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The value of each of k in a sorted table, 0 where it is not there."""
+    if not len(table):
+        return np.zeros(len(k))
+    at = np.minimum(np.searchsorted(table, k), len(table) - 1)
+    return np.where(table[at] == k, values[at], 0.0)
+
+
+def probabilities(u: np.ndarray, n: np.ndarray, low: dict[str, np.ndarray]) -> np.ndarray:
+    """Probability of each gram: u (sorted) are all grams of some branches and n their training counts."""
+    p = np.full(len(u), 1 / 256)
+    for d in range(LOW + 1):
+        k = narrowed(u, d)
+        ks = looked(low[f"key{d}"], low[f"n{d}"], k)
+        total, after = (looked(low[f"context{d}"], low[f"{x}{d}"], k >> np.uint64(8)) for x in ("total", "after"))
+        back = np.maximum(1, after) if d else 256  # one for each byte at the root
+        p = (ks + back * p) / (total + back)
+    levels = []
+    for d in range(LOW + 1, LONGEST + 1):
+        _, first, at = np.unique(narrowed(u, d), return_index=True, return_inverse=True)
+        k = np.bincount(at, n, len(first))
+        c = u >> np.uint64(64 - 8 * d)
+        of = np.cumsum(np.concatenate([[False], c[1:] != c[:-1]]))  # contexts are runs
+        sums, after = np.bincount(of, n), np.bincount(of[first], k > 0)
+        some = k > 0
+        up = ks[first], total[first]  # of the suffix
+        gain = np.zeros(len(first))
+        gain[some] = k[some] * np.log(k[some] / sums[of[first[some]]] * up[1][some] / up[0][some])
+        keep = (sums >= LEAST) & (np.bincount(of[first], gain) > TEST * np.maximum(1, after - 1))
+        ks, total = k[at], sums[of]
+        levels.append((of, keep, ks, total, np.maximum(1, after)[of]))
+    below = np.zeros(len(u), bool)
+    held = []
+    for of, keep, *_ in reversed(levels):
+        below = (keep | (np.bincount(of, below) > 0))[of]
+        held.append(below)
+    for (_, _, ks, total, back), keep in zip(levels, reversed(held), strict=True):
+        p = np.where(keep, (ks + back * p) / (total + back), p)
+    return p
+
+
+def short_counts(kept: DataFrame) -> dict[str, np.ndarray]:
+    """All contexts of up to LOW bytes: their number is bounded by that of the bytes, not by a choice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            for size, a, b in zip(batch.column("size").to_pylist(), batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                yield pa.RecordBatch.from_pydict({"k": pa.array(unpacked(a, size, np.int64)), "n": pa.array(unpacked(b, size, np.int32).astype(np.int64))})
 
-        def out() -> pa.RecordBatch:
-            g, at = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
-            n = np.bincount(at, np.concatenate([h[1] for h in held]), minlength=len(g)).astype(np.int64)
-            held.clear()
-            return pa.RecordBatch.from_pydict({"gram": pa.array(g.astype(np.int64)), "n": pa.array(n)})
+    rows = kept.filter(F.col("kind") == SHORT).select("size", "a", "b").mapInArrow(run, "k long, n long")
+    got = rows.groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    return short(got.column("k").to_numpy().astype(np.uint64), got.column("n").to_numpy().astype(float))
 
-        for batch in batches:
-            for part in slices(batch, "text"):
-                held.append(grams(normal(as_bytes(part.column("text")))))
-                if sum(len(h[0]) for h in held) > 4_000_000:
-                    yield out()
-        if held:
-            yield out()
-
-    level = ws.save(train.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
-    positions = level.agg(F.sum("n")).first()[0] or 0
-    least = max(2.0, LEAST_SHARE * positions)
-    found: list[tuple[bytes, dict[int, int]]] = []
-    for d in range(DEPTH, -1, -1):
-        context = F.shiftright("gram", 8).alias("context")
-        by = level.groupBy(context).agg(F.sum("n").alias("total"), F.collect_list(F.struct((F.col("gram").bitwiseAND(255)).alias("s"), "n")).alias("after"))
-        # at most 1 / LEAST_SHARE contexts of a length, each with at most 256 bytes after it
-        got = by.filter(F.col("total") >= least).select("context", F.col("after.s").alias("s"), F.col("after.n").alias("n")).toArrow()
-        for c, s, n in zip(got.column("context"), got.column("s"), got.column("n"), strict=True):
-            found.append((c.as_py().to_bytes(8, "big")[8 - d :] if d else b"", dict(zip(s.as_py(), n.as_py(), strict=True))))
-        if d:
-            shorter = level.groupBy(F.col("gram").bitwiseAND((1 << 8 * d) - 1).alias("gram")).agg(F.sum("n").alias("n"))
-            kept = ws.save(shorter, f"grams{d}")
-            ws.drop(level)
-            level = kept
-    ws.drop(level)
-    return Tree(found)
-
-
-TOKENS = "slice long, bucket int, first int, a binary, b binary, c binary, d binary, e binary"
-
-
-def tokens(docs: DataFrame, tree: Tree, buckets: int) -> DataFrame:
-    """For each slice of texts: one payload row, and its words by bucket.
-
-    Payload: a ids, b words in each document, c word numbers, d counts, e scores and null flags. Words: a their bytes,
-    b lengths, c training counts; they have the numbers from `first` on.
+
+TOKENS = "slice long, kind int, bucket int, first int, size int, a binary, b binary, c binary, d binary, e binary"
+
+
+def tokens(docs: DataFrame, buckets: int, gram_buckets: int) -> DataFrame:
+    """For each slice of texts: one payload row, its words and its grams by bucket, and its short training grams.
+
+    Payload: a ids, b words in each document, c word numbers, d counts, e null flags and normalised text. Words: a
+    their bytes, b lengths, c training counts; they have the numbers from `first` on. Grams: a the differences of
+    keys, b training counts, numbered likewise.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(tree)  # at most DEPTH / LEAST_SHARE states
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = shared.value
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 words = normal(as_bytes(part.column("text")))
@@ -211,27 +286,59 @@ def tokens(docs: DataFrame, tree: Tree, buckets: int) -> DataFrame:
                 ids = part.column("doc_id")
                 null = np.asarray(ids.is_null().to_numpy(zero_copy_only=False), np.uint8)
                 name = uuid.uuid4().int >> 66
-                rows = [(name, PAYLOAD, 0, ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).tobytes(), np.bincount(doc, minlength=len(words)).astype(np.int32).tobytes(), word.astype(np.int32).tobytes(), tf.astype(np.int32).tobytes(), machine.scores(words).tobytes() + null.tobytes())]
+                text = b"\n".join(b" ".join(w) for w in words)
+                del coded, of, code, pair
+                rows = [(name, PAYLOAD, 0, 0, len(text), ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).tobytes(), np.bincount(doc, minlength=len(words)).astype(np.int32).tobytes(), packed(word.astype(np.int32)), packed(tf.astype(np.int32)), null.tobytes() + pa.compress(text, "zstd", asbytes=True))]
                 edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
                 for b in np.flatnonzero(np.diff(edges)):
                     mine = [names[i] for i in order[edges[b] : edges[b + 1]]]
-                    rows.append((name, int(b), int(edges[b]), b"".join(mine), np.array([len(w) for w in mine], np.int32).tobytes(), trained[edges[b] : edges[b + 1]].astype(np.int32).tobytes(), None, None))
+                    rows.append((name, WORDS, int(b), int(edges[b]), len(mine), b"".join(mine), packed(np.array([len(w) for w in mine], np.int32)), packed(trained[edges[b] : edges[b + 1]].astype(np.int32)), None, None))
+                k, bytes_ = keys(words)
+                del words, names
+                own = np.repeat(train, bytes_)
+                seen, times = np.unique(k[own], return_counts=True)
+                u = distinct(np.concatenate([seen, k[~own]]))
+                del k, own
+                n = np.zeros(len(u), np.int32)
+                n[np.searchsorted(u, seen)] = times
+                few, at = np.unique(narrowed(seen, LOW), return_inverse=True)
+                if len(few):
+                    rows.append((name, SHORT, 0, 0, len(few), packed(few.astype(np.int64)), packed(np.bincount(at, times, len(few)).astype(np.int32)), None, None, None))
+                bucket, order = dealt(u, gram_buckets)
+                edges = np.searchsorted(bucket[order], np.arange(gram_buckets + 1))
+                u, n = u[order], n[order]
+                for b in np.flatnonzero(np.diff(edges)):
+                    mine = u[edges[b] : edges[b + 1]]
+                    rows.append((name, GRAMS, int(b), int(edges[b]), len(mine), packed(np.diff(mine, prepend=np.uint64(0))), packed(n[edges[b] : edges[b + 1]]), None, None, None))
                 cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[3:])], ["slice", "bucket", "first", "a", "b", "c", "d", "e"])
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.int32()) for c in cols[1:5]), *(pa.array(c, pa.binary()) for c in cols[5:])], ["slice", "kind", "bucket", "first", "size", "a", "b", "c", "d", "e"])
 
     return docs.mapInArrow(run, TOKENS)
 
 
+def answered(table: pa.Table, low: dict[str, np.ndarray]) -> pa.Table:
+    """log10 probabilities of a bucket's grams, handed back to each slice."""
+    sizes = table.column("size").to_pylist()
+    k = np.concatenate([np.cumsum(unpacked(a.as_py(), n, np.uint64), dtype=np.uint64) for a, n in zip(table.column("a"), sizes, strict=True)])
+    n = np.concatenate([unpacked(b.as_py(), n, np.int32) for b, n in zip(table.column("b"), sizes, strict=True)])
+    u, at = np.unique(k, return_inverse=True)
+    del k
+    out = np.log10(probabilities(u, np.bincount(at, n, len(u)), low)).astype(np.float32)[at]
+    edges = np.cumsum([0, *sizes])
+    return pa.table({"slice": table.column("slice"), "kind": pa.array([GRAMS] * len(sizes), pa.int32()), "first": table.column("first"), "size": table.column("size"), "c": pa.array([packed(out[edges[i] : edges[i + 1]]) for i in range(len(sizes))], pa.binary())})
+
+
 def added(table: pa.Table) -> pa.Table:
     """Training counts of a bucket's words over all slices, handed back to each slice; one row has the sums."""
-    sizes = [np.frombuffer(x.as_py(), np.int32) for x in table.column("b")]
+    of = lambda c: [unpacked(x, n, np.int32) for x, n in zip(table.column(c).to_pylist(), table.column("size").to_pylist(), strict=True)]
+    sizes = of("b")
     arrays = []
     for a, n in zip(table.column("a"), sizes, strict=True):
         offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
         arrays.append(pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets.tobytes()), a.as_buffer()]))
     coded = pa.chunked_array(arrays, pa.binary()).combine_chunks().dictionary_encode() if arrays else None
     code = coded.indices.to_numpy(zero_copy_only=False)
-    train = np.concatenate([np.frombuffer(x.as_py(), np.int32) for x in table.column("c")])
+    train = np.concatenate(of("c"))
     total = np.bincount(code, train, minlength=len(coded.dictionary)).astype(np.int64)
     out = total[code]
     edges = np.cumsum([0, *(len(n) for n in sizes)])
@@ -246,22 +353,30 @@ def added(table: pa.Table) -> pa.Table:
     )
 
 
-def looked_up(payload: pa.Table, counts: pa.Table) -> pa.Table:
-    """Documents of a slice with the sums over their words."""
+def looked_up(payload: pa.Table, counts: pa.Table, gram_buckets: int) -> pa.Table:
+    """Documents of a slice with the sums over their words and bytes."""
     if not payload.num_rows:
         return pa.table({k: pa.array([], t) for k, t in (("doc_id", pa.int64()), ("words", pa.int64()), ("known", pa.int64()), ("raw", pa.float64()), ("score", pa.float64()))})
     row = payload.slice(0, 1).to_pylist()[0]
-    ids, per, word, tf = np.frombuffer(row["a"], np.int64), np.frombuffer(row["b"], np.int32), np.frombuffer(row["c"], np.int32), np.frombuffer(row["d"], np.int32)
-    parts = sorted(zip(counts.column("first").to_pylist(), counts.column("c").to_pylist(), strict=True))
-    c = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64) for _, x in parts)])
+    ids, per = np.frombuffer(row["a"], np.int64), np.frombuffer(row["b"], np.int32)
+    word, tf = (unpacked(row[x], int(per.sum()), np.int32) for x in "cd")
+    null = np.frombuffer(row["e"][: len(ids)], np.uint8).astype(bool)
+    k, sizes = keys([t.split(b" ") for t in pa.decompress(row["e"][len(ids) :], row["size"], "zstd", asbytes=True).split(b"\n")])
+    u, at = np.unique(k, return_inverse=True)
+    del k
+    order = dealt(u, gram_buckets)[1]
+    parts = sorted(zip(*(counts.column(x).to_pylist() for x in ("kind", "first", "size", "c")), strict=True))
+    each = np.empty(len(u))
+    each[order] = np.concatenate([unpacked(x, n, np.float32) for kind, _, n, x in parts if kind == GRAMS])
+    score = np.bincount(np.repeat(np.arange(len(ids)), sizes), each[at], len(ids))
+    c = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64) for kind, _, _, x in parts if kind == WORDS)])
     of = np.repeat(np.arange(len(ids)), per)
     sums = lambda v: np.bincount(of, v, minlength=len(ids)).astype(float)
     n = c[word] if len(word) else np.zeros(0, np.int64)
-    null = np.frombuffer(row["e"][8 * len(ids) :], np.uint8).astype(bool)
     return pa.table(
         {
             "doc_id": pa.array(ids, mask=null), "words": pa.array(sums(tf).astype(np.int64)), "known": pa.array(sums(tf * (n > 0)).astype(np.int64)),
-            "raw": pa.array(sums(tf * np.log10(n + 1.0))), "score": pa.array(np.frombuffer(row["e"][: 8 * len(ids)], np.float64)),
+            "raw": pa.array(sums(tf * np.log10(n + 1.0))), "score": pa.array(score),
         }
     )
 
@@ -275,16 +390,24 @@ def score_texts(docs: DataFrame, held: Column | None = None) -> DataFrame:
     held = held_out() if held is None else held
     ws = Workspace(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (~held).alias("train"))
-    tree = learn(rows.filter("train").select("text"), ws)
-    n_docs = docs.count()
-    kept = ws.save(tokens(rows, tree, min(4096, partitions(n_docs, 20_000))), "tokens")
-    words = kept.filter(F.col("bucket") >= 0).select("slice", "bucket", "first", "a", "b", "c")
-    counts = ws.save(words.groupBy("bucket").applyInArrow(added, "slice long, first int, c binary, distinct long, train long"), "counts")
+    size = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length(F.col("text").cast("string"))).alias("bytes")).first()
+    gram_buckets = min(4096, partitions(size.bytes or 0, BUCKET))
+    kept = ws.save(tokens(rows, min(4096, partitions(size.n, 20_000)), gram_buckets), "tokens")
+    low = docs.sparkSession.sparkContext.broadcast(short_counts(kept))  # all contexts of up to LOW bytes
+    counts = ws.save(
+        kept.filter(F.col("kind") == WORDS).select("slice", "bucket", "first", "size", "a", "b", "c").groupBy("bucket").applyInArrow(added, "slice long, first int, c binary, distinct long, train long"), "counts"
+    )
+    freed(ws)
+    answers = ws.save(
+        kept.filter(F.col("kind") == GRAMS).select("slice", "bucket", "first", "size", "a", "b").groupBy("bucket").applyInArrow(lambda t: answered(t, low.value), "slice long, kind int, first int, size int, c binary"), "answers"
+    )
+    freed(ws)
     sums = counts.agg(F.sum("distinct").alias("v"), F.sum("train").alias("n")).first()
     ends = rows.filter("train").count()
     v, n = (sums.v or 0) + (ends > 0), (sums.n or 0) + ends
-    payload = kept.filter(F.col("bucket") == PAYLOAD).select("slice", "a", "b", "c", "d", "e")
-    found = payload.groupBy("slice").cogroup(counts.select("slice", "first", "c").groupBy("slice")).applyInArrow(looked_up, "doc_id long, words long, known long, raw double, score double")
+    payload = kept.filter(F.col("kind") == PAYLOAD).select("slice", "size", "a", "b", "c", "d", "e")
+    back = answers.unionByName(counts.select("slice", F.lit(WORDS).alias("kind"), "first", F.lit(0).alias("size"), "c"))
+    found = payload.groupBy("slice").cogroup(back.groupBy("slice")).applyInArrow(lambda p, c: looked_up(p, c, gram_buckets), "doc_id long, words long, known long, raw double, score double")
     tokens_ = F.col("words") + 1
     return found.select(
         "doc_id", held.alias("held_out"), tokens_.alias("n_tokens"), (F.col("known") + int(ends > 0)).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),

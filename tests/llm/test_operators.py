@@ -243,6 +243,49 @@ def test_lm_tree_is_a_distribution_and_walks_pieces():
     assert one[0] == pytest.approx(total, rel=1e-5)
 
 
+def scored_by_definition(rows, longest=7):
+    """log10 probabilities of texts (bytes) by a walk down the suffixes of each history; rows are (text, in training)."""
+    every = [(b"\t" * longest + b" ".join(t.lower().split()) + b"\n", train) for t, train in rows]
+    counts = collections.defaultdict(collections.Counter)
+    for t, train in every:
+        for k in range(longest, len(t) if train else 0):
+            for d in range(longest + 1):
+                counts[t[k - d : k]][t[k]] += 1
+    keep = {c for c in counts if len(c) <= suffix_tree_lm.LOW}
+    for c, after in list(counts.items()):
+        n, up = sum(after.values()), counts[c[1:]]
+        gain = sum(m * math.log(m / n * sum(up.values()) / up[s]) for s, m in after.items())
+        if len(c) > suffix_tree_lm.LOW and n >= 2 and gain > suffix_tree_lm.TEST * max(1, len(after) - 1):
+            keep |= {c[j:] for j in range(len(c) + 1)}
+    out = []
+    for t, _ in every:
+        out.append(0.0)
+        for k in range(longest, len(t)):
+            p = 1 / 256
+            for d in range(longest + 1):
+                c = t[k - d : k]
+                if c in keep or not d:
+                    after = counts.get(c, {})
+                    back = max(1, len(after)) if d else 256
+                    p = (after.get(t[k], 0) + back * p) / (sum(after.values()) + back)
+            out[-1] += math.log10(p)
+    return out, keep
+
+
+@pytest.mark.parametrize("source", [awkward, lambda spark: documents(spark, 40)])
+def test_lm_scores_by_definition(spark, monkeypatch, source):
+    df = source(spark)
+    rows = df.collect()
+    held = [r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 7 == 2 for r in rows]
+    want, keep = scored_by_definition([((r.text or "").encode(), not h) for r, h in zip(rows, held, strict=True)])
+    assert any(len(c) == 7 for c in keep)
+    got = suffix_tree_lm.score_texts(df).collect()
+    key = lambda i, x: (i is None, i or 0, x)
+    pairs = zip(sorted(key(r.doc_id, r.score) for r in got), sorted(key(r.doc_id, x) for r, x in zip(rows, want, strict=True)), strict=True)
+    for a, b in pairs:
+        assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], rel=1e-4)
+
+
 def test_quality_held_out(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     lab = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
