@@ -4,10 +4,13 @@ In each pass a vector's signs against 63 random directions are one number; vecto
 share a long run of signs, and each is compared with the next `window` in the order. Pairs whose longer sketches
 (another 256 signs) differ no more than six standard deviations beyond what the threshold allows are verified by cosine
 in double precision. The number of passes follows from the threshold, the window and the number of vectors, for a chance
-of at most `miss` that a pair right at the threshold is never near. Verified pairs of all passes are joined.
+of at most `miss` that a pair right at the threshold never shares the first signs of its numbers, as many as leave half
+a window of evenly spread vectors alike. Where vectors are not evenly spread more are alike than a window holds: such a
+run is compared whole, block by block. A pair that shares the signs is thus always compared, however dense the region,
+and `miss` holds for any data. Verified pairs of all passes are joined.
 
-Windows bound what one pass finds in a dense group, so members of a group are then compared with each other, block by
-block, with all their links counted: the counts are whole whatever the window. Vectors equal to the bit are one row
+Members of a group are then compared with each other, block by block, with all their links counted: the counts are
+whole whatever the window. Vectors equal to the bit are one row
 with a weight, so copies cost nothing. Neighbours that a partition's edge parts are compared in a second step.
 
 Vectors that take no part (see vectors.usable) link with nothing: n_links 0, their own component, kept. A null id gets a
@@ -25,17 +28,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.llm.common import Workspace
-from rasterloom.llm.graph import components
+from rasterloom.llm.graph import components, forest
 from rasterloom.llm.vectors import matrix, units, usable
 
 BITS, SKETCH, WINDOW, MISS, BLOCK, SEED = 63, 256, 32, 1e-3, 2048, 5
 ENTRY = "pass int, code long, id long, sketch binary"
 
 
+def shared(n: int, window: int = WINDOW) -> float:
+    """First signs that half a window of n evenly spread vectors have alike."""
+    return max(0.0, math.log2(max(2, n) / window) + 1)
+
+
 def passes(n: int, threshold: float, window: int = WINDOW, miss: float = MISS) -> int:
     """Passes after which a pair at the threshold is missed with a chance of at most `miss`."""
     agree = 1 - math.acos(threshold) / math.pi
-    near = agree ** max(0.0, math.log2(max(2, n) / window) + 1)
+    near = agree ** shared(n, window)
     return max(2, math.ceil(math.log(miss) / math.log(max(1e-9, 1 - near)))) if near < 1 else 2
 
 
@@ -128,33 +136,73 @@ def verified(pairs: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "u long, v long")
 
 
-def counted(members: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
-    """id, links of the members (id, v, weight, component, size) of components: weights of linked others."""
-    from rasterloom.llm.vectors import cosine
+def in_runs(rows: DataFrame, n: int, n_passes: int, window: int, threshold: float, ws: Workspace, block: int = BLOCK, seed: int = SEED) -> DataFrame:
+    """u, v that hold together what links do in runs of equal first signs that are longer than a window."""
+    bits = min(BITS, int(shared(n, window)))
+
+    def prefixes(batches):
+        for batch in batches:
+            x = units(matrix(batch.column("v")))
+            weights = np.int64(1) << np.arange(bits, dtype=np.int64)
+            for p in range(n_passes if len(x) else 0):
+                # the first signs of the pass's code
+                code = (x @ np.random.default_rng([seed, p + 1]).normal(size=(x.shape[1], BITS))[:, :bits] >= 0) @ weights
+                yield pa.RecordBatch.from_pydict({"pass": pa.array(np.full(len(x), p, np.int32)), "run": pa.array(code.astype(np.int64)), "id": batch.column("id")})
+
+    entries = ws.save(rows.select("id", "v").mapInArrow(prefixes, "pass int, run long, id long"), "prefixes")
+    long = ws.save(entries.groupBy("pass", "run").agg(F.count("*").alias("size")).filter(F.col("size") > window + 1), "runs")
+    members = entries.join(long, ["pass", "run"]).join(rows.select("id", "v"), "id")
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, x = table.column("id").to_numpy(), matrix(table.column("v"))
+        one, two = (np.flatnonzero(table.column(c).to_numpy()) for c in ("first", "second"))
+        held = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for mine, link in linked(ids, x, one, two, threshold):
+            r, c = np.nonzero(link)
+            held.append(forest(ids[mine[r]], ids[two[c]]))
+        u, v = forest(*map(np.concatenate, zip(*held, strict=True)))
+        return pa.table({"u": u, "v": v})
+
+    return in_blocks(members, block).groupBy("pass", "run", "i", "j").applyInArrow(run, "u long, v long")
+
 
+def in_blocks(members: DataFrame, block: int) -> DataFrame:
+    """Members of groups (id, v, size, others), once for each pair i <= j of blocks that theirs is in."""
     m = members.withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
     m = m.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int"))
     m = m.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    m = m.select("id", "v", "weight", "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") <= F.col("other")).alias("first"), (F.col("block") >= F.col("other")).alias("second"))
+    return m.select("*", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") <= F.col("other")).alias("first"), (F.col("block") >= F.col("other")).alias("second")).drop("blocks", "block", "other", "size")
+
+
+def linked(ids: np.ndarray, x: np.ndarray, one: np.ndarray, two: np.ndarray, threshold: float):
+    """Parts of the rows `one`, and which of the rows `two` each links with."""
+    from rasterloom.llm.vectors import cosine
+
+    u = units(x)
+    for s in range(0, len(one), 512):
+        mine = one[s : s + 512]
+        dot = u[mine] @ u[two].T
+        link = dot >= threshold
+        # right at the threshold the order of additions decides: as in the verification
+        for r, c in zip(*np.nonzero(np.abs(dot - threshold) < 1e-12), strict=True):
+            link[r, c] = cosine(x[mine[r : r + 1]], x[two[c : c + 1]])[0] >= threshold
+        yield mine, link & (ids[mine][:, None] != ids[two][None])
+
+
+def counted(members: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """id, links of the members (id, v, weight, component, size) of components: weights of linked others."""
 
     def run(table: pa.Table) -> pa.Table:
         ids, weight, x = table.column("id").to_numpy(), table.column("weight").to_numpy(), matrix(table.column("v"))
         one, two = (np.flatnonzero(table.column(c).to_numpy()) for c in ("first", "second"))
         links = np.zeros(len(ids), np.int64)
-        u = units(x)
-        for s in range(0, len(one), 512):
-            mine = one[s : s + 512]
-            dot = u[mine] @ u[two].T
-            link = dot >= threshold
-            # right at the threshold the order of additions decides: as in the verification
-            for r, c in zip(*np.nonzero(np.abs(dot - threshold) < 1e-12), strict=True):
-                link[r, c] = cosine(x[mine[r : r + 1]], x[two[c : c + 1]])[0] >= threshold
-            link &= ids[mine][:, None] != ids[two][None]
+        for mine, link in linked(ids, x, one, two, threshold):
             links[mine] += link @ weight[two]
             if len(one) != len(two) or not np.array_equal(one, two):
                 links[two] += link.T @ weight[mine]
         return pa.table({"id": ids, "links": links})
 
+    m = in_blocks(members.select("id", "v", "weight", "component", "size"), block)
     return m.groupBy("component", "i", "j").applyInArrow(run, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
 
 
@@ -167,7 +215,8 @@ def dedup(table: DataFrame, threshold: float = 0.95, key: str = "vec_id", column
     k = passes(n, threshold, window)
     parts = max(12, -(-n * k // 100_000))
     pairs = candidates(projected(points, k), parts, window, tolerance(threshold), ws)
-    found = components(verified(ws.save(pairs, "pairs"), points, threshold), ws)
+    links = verified(ws.save(pairs, "pairs"), points, threshold).union(in_runs(points, n, k, window, threshold, ws))
+    found = components(links, ws)
     joined = points.join(found.withColumnRenamed("node", "id"), "id")
     sizes = ws.save(joined.groupBy("component").agg(F.count("*").alias("size")), "sizes")
     links = counted(ws.save(joined, "members").join(sizes, "component"), threshold)

@@ -350,6 +350,23 @@ def test_embedding_dedup(spark):
             assert (r.n_links, r.component_id, r.kept) == (0, r.vec_id, True)
 
 
+def test_embedding_dedup_in_a_dense_region(spark):
+    """Half of the rows share a direction: near each other, but linked only with the copy of their own."""
+    rng = np.random.default_rng(4)
+    unit = lambda a: a / np.linalg.norm(a, axis=-1, keepdims=True)
+    noise = unit(rng.normal(size=(1000, 64)))
+    cone = unit(math.sqrt(0.88) * unit(rng.normal(size=64)) + math.sqrt(0.12) * noise)
+    twin = unit(cone[:120] + 0.3 * unit(rng.normal(size=(120, 64))))
+    x = np.concatenate([cone, twin, unit(rng.normal(size=(900, 64)))])
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    ids, s = cosines(df)
+    links = [(ids[a], ids[b]) for a, b in zip(*np.nonzero(np.tril(s, -1) >= 0.95), strict=True)]
+    assert len(links) > 100
+    n, want = collections.Counter(x for pair in links for x in pair), classes(ids, links)
+    got = embedding_dedup.dedup(df, window=4).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {i: (n[i], want[i]) for i in ids}
+
+
 def test_nearest(spark):
     df = vectors(spark)
     ids, s = cosines(df)
