@@ -5,8 +5,9 @@ score-aware loss: for unit vectors the part of the residual parallel to the vect
 part, eta = (d - 1) T^2 / (1 - T^2), since errors along a vector move its large inner products most. Assignments are
 improved coordinate by coordinate, centres by the normal equations of the loss. Every vector is encoded; two four-bit
 codes share a byte, and a query looks up both at once in tables of 256 sums. Each block of codes is scanned for each
-block of queries, the best `depth` of a block go on, and the best of those over all blocks are reranked by the cosine
-of the original vectors.
+block of queries. The best `depth` of a block are reranked by the cosine of the original vectors; the k + 1 th best of
+these is a bar, and a row's cosine exceeds its score by the length of its residual at most. All rows that can so reach
+the bar are reranked too, be they `depth` or the whole block. The best k + 1 of each block go on, so nothing is missed.
 
 Vectors equal to the bit are one row with their k + 1 smallest ids: no more of them can be among k nearest, with ties
 to smaller ids and a query's own row left out. That loses nothing and keeps copies from filling a candidate list.
@@ -28,6 +29,8 @@ from rasterloom.llm.vectors import cosine, matrix, units, usable
 
 SAMPLE, CENTRES, PAIR, THRESHOLD, SEED = 8192, 16, 2, 0.2, 11
 ROW_BLOCK, QUERY_BLOCK, DEPTH = 8192, 512, 100
+#: More than the single precision of scores can be off.
+SLACK = 1e-4
 
 
 class Quantiser:
@@ -82,10 +85,15 @@ class Quantiser:
         got = np.linalg.solve(a, self.eta * b)
         self.c = np.where((uses > 0).reshape(self.c.shape), got.reshape(self.c.shape), self.c)
 
-    def encode(self, x: np.ndarray) -> np.ndarray:
-        """Two four-bit codes in each byte."""
-        code = np.concatenate([np.zeros((0, self.spaces), np.int64), *(self.assign(self.split(x[s : s + 4096])) for s in range(0, len(x), 4096))]).astype(np.uint8)
-        return code[:, 0::2] | code[:, 1::2] << 4
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two four-bit codes in each byte, and the lengths of the residuals."""
+        codes, gaps = [np.zeros((0, self.spaces), np.int64)], [np.zeros(0)]
+        for s in range(0, len(x), 4096):
+            part = self.split(x[s : s + 4096])
+            codes.append(self.assign(part))
+            gaps.append(np.sqrt(((part - self.c[np.arange(self.spaces), codes[-1]]) ** 2).sum((1, 2))))
+        code = np.concatenate(codes).astype(np.uint8)
+        return code[:, 0::2] | code[:, 1::2] << 4, np.concatenate(gaps)
 
     def tables(self, q: np.ndarray) -> np.ndarray:
         """For each query and byte, the sum of both inner products for each of the 256 values."""
@@ -93,21 +101,31 @@ class Quantiser:
         return (t[:, 1::2, :, None] + t[:, 0::2, None, :]).reshape(len(q), self.spaces // 2, 256).astype(np.float32)
 
 
-def scanned(index: pa.Table, queries: pa.Table, quantiser: Quantiser, depth: int) -> pa.Table:
-    """The best `depth` codes of a block for each query of a block."""
+def scanned(index: pa.Table, queries: pa.Table, quantiser: Quantiser, depth: int, most: int) -> pa.Table:
+    """The `most` nearest rows of a block for each query of a block, and their cosines; ties to smaller ids."""
     code = np.stack([np.frombuffer(c, np.uint8) for c in index.column("code").to_pylist()]).T.copy()
-    ids = index.column("id").to_numpy()
-    q, name = units(matrix(queries.column("v"))), queries.column("query_id").to_numpy()
+    ids, gap, x = index.column("id").to_numpy(), index.column("gap").to_numpy(), matrix(index.column("v"))
+    v = matrix(queries.column("v"))
+    q, u, name = units(v), units(x), queries.column("query_id").to_numpy()
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for s in range(0, len(q), 64):
-        for row, table in enumerate(quantiser.tables(q[s : s + 64])):
+        for row, table in enumerate(quantiser.tables(q[s : s + 64]), s):
             score = np.zeros(len(ids), np.float32)
             for byte, of in zip(code, table, strict=True):
                 score += of[byte]
-            top = np.arange(len(ids)) if len(ids) <= depth else np.argpartition(-score, depth - 1)[:depth]
-            out.append((np.full(len(top), name[s + row]), ids[top], score[top]))
+            near = np.arange(len(ids))
+            if len(ids) > max(depth, most):
+                top = np.argpartition(-score, depth - 1)[:depth]
+                bar = np.partition(u[top] @ q[row], -min(most, depth))[-min(most, depth)] if depth >= most else -2.0
+                near = np.flatnonzero(score + gap >= bar - SLACK)
+            dot = u[near] @ q[row]
+            if len(near) > most:
+                near = near[dot >= np.partition(dot, -most)[-most] - 1e-9]
+            exact = cosine(v[row : row + 1], x[near])
+            best = np.lexsort((ids[near], -exact))[:most]
+            out.append((np.full(len(best), name[row]), ids[near][best], exact[best]))
     cols = [np.concatenate(c) for c in zip(*out, strict=True)]
-    return pa.table({"query_id": pa.array(cols[0], pa.int64()), "id": pa.array(cols[1], pa.int64()), "near": pa.array(cols[2], pa.float32())})
+    return pa.table({"query_id": pa.array(cols[0], pa.int64()), "id": pa.array(cols[1], pa.int64()), "near": pa.array(cols[2], pa.float64())})
 
 
 def distinct_vectors(rows: DataFrame, most: int) -> DataFrame:
@@ -136,10 +154,10 @@ def search(table: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
 
     def encode(batches):
         for batch in batches:
-            code = shared.value.encode(units(matrix(batch.column("v"))))
-            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "code": pa.array([c.tobytes() for c in code], pa.binary())})
+            code, gap = shared.value.encode(units(matrix(batch.column("v"))))
+            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "v": batch.column("v"), "code": pa.array([c.tobytes() for c in code], pa.binary()), "gap": pa.array(gap, pa.float64())})
 
-    coded = index.select("id", "v").mapInArrow(encode, "id long, code binary")
+    coded = index.select("id", "v").mapInArrow(encode, "id long, v array<double>, code binary, gap double")
     block = lambda c, of: F.pmod(F.xxhash64(c), F.lit(of)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))
     left = coded.withColumn("rb", block("id", row_blocks)).withColumn("qb", every)
@@ -147,19 +165,13 @@ def search(table: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
 
     def scan(index_: pa.Table, queries_: pa.Table) -> pa.Table:
         if not index_.num_rows or not queries_.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "near": pa.array([], pa.float32())})
-        return scanned(index_, queries_, shared.value, depth)
+            return pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "near": pa.array([], pa.float64())})
+        return scanned(index_, queries_, shared.value, depth, k + 1)
 
-    near = left.groupBy("rb", "qb").cogroup(right.groupBy("rb", "qb")).applyInArrow(scan, "query_id long, id long, near float")
-    best = near.withColumn("k", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("near"), "id"))).filter(F.col("k") <= depth).select("query_id", "id")
-
-    def rerank(batches):
-        for batch in batches:
-            c = cosine(matrix(batch.column("q")), matrix(batch.column("v"))) if batch.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_pydict({"query_id": batch.column("query_id"), "ids": batch.column("ids"), "score": pa.array(c, pa.float64())})
-
-    full = ws.save(best, "best").join(index, "id").join(queries.withColumnRenamed("v", "q"), "query_id").select("query_id", "ids", "q", "v")
-    scored = full.mapInArrow(rerank, "query_id long, ids array<long>, score double")
+    near = left.groupBy("rb", "qb").cogroup(right.groupBy("rb", "qb")).applyInArrow(scan, "query_id long, id long, near double")
+    # a vector's rows come after no more than one row of each vector before it
+    best = near.withColumn("k", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("near"), "id"))).filter(F.col("k") <= k + 1)
+    scored = ws.save(best.select("query_id", "id", F.col("near").alias("score")), "best").join(index.select("id", "ids"), "id")
     each = scored.select("query_id", F.explode("ids").alias(key), "score").filter(F.col(key) != F.col("query_id"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))
     return each.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", key, "score")

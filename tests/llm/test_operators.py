@@ -384,6 +384,21 @@ def test_nearest(spark):
     assert hit >= 0.9 * 5 * len([i for i in ids if i % 50 == 0])
 
 
+def test_nearest_in_a_large_group(spark):
+    """A third of the rows are near copies, whose codes are all but equal."""
+    rng = np.random.default_rng(6)
+    unit = lambda a: a / np.linalg.norm(a, axis=-1, keepdims=True)
+    group = unit(math.sqrt(0.97) * unit(rng.normal(size=64)) + math.sqrt(0.03) * unit(rng.normal(size=(2000, 64))))
+    x = np.concatenate([group, unit(rng.normal(size=(4000, 64)))])
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(set)
+    for r in nearest.search(df, F.col("id") % 100 == 0).collect():
+        got[r.query_id].add(r.vec_id)
+    s = x[::100] @ x.T
+    s[np.arange(len(s)), np.arange(0, len(x), 100)] = -2
+    assert got == {100 * i: set(np.argsort(-row)[:5].tolist()) for i, row in enumerate(s)}
+
+
 def test_empty_tables(spark):
     docs, lab = awkward(spark).filter("false"), labels(spark)
     vec = vectors(spark).filter("false")
