@@ -534,8 +534,8 @@ def m11_stratified_sample(t):
 def m01_neural_gas(t):
     """Nodes by scene, and how many pixels each is nearest to."""
     px = t.filter("nir is not null").withColumn("f", indices.features())
-    sample = cluster.bounded_sample(px.select("site", "id", "f"), ["site"], "id", 2000)
-    nodes = cluster.fit_gas(sample, ["site"], "f", "id", nodes=20, steps=3000)
+    sample = cluster.bounded_sample(px.select("site", "id", "f"), ["site"], "id")
+    nodes = cluster.fit_gas(sample, ["site"], "f", "id")
     near = cluster.nearest_node(px, nodes, ["site"], "f")
     return near.groupBy("site", "node").agg(F.count("*").alias("cells"), F.avg(indices.ndvi()).alias("ndvi"))
 
@@ -561,12 +561,12 @@ def a36_named_nodes(t):
 
 @query("m13_bootstrap", S.POINTS)
 def m13_bootstrap(t):
-    return resampling.intervals(t.select("point_id", "stratum", "population", "truth", F.col("by_size").alias("predicted"), F.lit(0).alias("g")), ["g"], 200)
+    return resampling.intervals(t.select("point_id", "stratum", "population", "truth", F.col("by_size").alias("predicted"), F.lit(0).alias("g")), ["g"])
 
 
 @query("m14_mean_interval", S.SERIES)
 def m14_mean_interval(t):
-    return resampling.mean_interval(t.select("yr", "ha", "site"), ["yr"], "ha", "site", 200)
+    return resampling.mean_interval(t.select("yr", "ha", "site"), ["yr"], "ha", "site")
 
 
 @query("q01_ranked_sites", S.SERIES, "select site, round(max(ha), 4) as peak, round(max(ha) / (select max(ha) from t where site % 2 = 0), 6) as bar from t where site % 2 = 0 group by site order by peak desc, site limit 14")

@@ -30,3 +30,13 @@ def test_normal_of_every_event_over_thirty_days(spark, tmp_path):
     got = {r.event: r.normal for r in catalogue.QUERIES["t09_normal"](spark, str(tmp_path)).collect()}
     # the first 30 days of 2022 are preceded, in 2023, by whole windows; those of 2023 have none in 2022
     assert got == {i: 60.0 for i in range(730) if not 365 <= i < 395}
+
+
+def test_production_parameters(spark, monkeypatch):
+    """Gas and bootstrap queries leave sample, steps, nodes and replicates to the operators."""
+    given = []
+    for of, name in ((catalogue.cluster, "bounded_sample"), (catalogue.cluster, "fit_gas"), (catalogue.resampling, "intervals"), (catalogue.resampling, "mean_interval")):
+        monkeypatch.setattr(of, name, lambda *a, _f=getattr(of, name), **k: (given.append((_f.__name__, [x for x in a if type(x) is int], k)), _f(*a, **k))[1])
+    for q in ("m01_neural_gas", "m13_bootstrap", "m14_mean_interval"):
+        assert catalogue.QUERIES[q](spark, SF).count()
+    assert given == [(f, [], {}) for f in ("bounded_sample", "fit_gas", "intervals", "mean_interval")]
