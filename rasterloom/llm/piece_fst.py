@@ -3,10 +3,15 @@
 The normaliser (a leading space, spaces written as a mark), the pieces and the byte fallback are compiled into one
 transducer: a trie of pieces whose arcs end in a piece's id and weight, and for characters that no piece holds an arc to
 their bytes. Composed with an input it is a lattice over positions; encoding is its shortest path in the tropical
-semiring (weights add along a path, the least path wins). For unigram models the weight of a piece is its score's
-negative. For models that merge pairs (BPE) a sum of scores is not what the library maximises: there the transducer is
-first composed with the acceptor of adjacent pieces that merging leaves side by side, which accepts one path of a
-prefix, so that the shortest path is the library's. A state of that lattice is a position and its last piece.
+semiring (weights add along a path, the least path wins), found by relaxing the arcs of one position after the other.
+
+For unigram models the weight of a piece is its score's negative, and that is all. For models that merge pairs (BPE) a
+sum of scores is not what the library maximises. There the transducer is composed with an acceptor of adjacent pieces,
+compiled from the merge order: an arc between two pieces that merging would not leave side by side weighs infinity.
+Whether it would follows from the merges that make the end of the left piece and the beginning of the right one, taken
+back from the latest: if what stands side by side at some time is a piece of earlier rank than the next merge on either
+side, merging joins it. No merge is run on the input. A state of that lattice is a position and its last piece; one
+path of finite weight leads to each position, so the shortest path is the library's.
 
 No piece has the mark behind another character (checked when compiling), so a text is cut before each run of marks;
 between letters and other characters it is cut where no piece joins them. Paths of short parts are kept in a bounded
@@ -19,7 +24,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import heapq
+import math
 import re
 from array import array
 from collections.abc import Iterator
@@ -48,7 +53,6 @@ class Transducer:
         self.output = [bytes([byte_of[i]]) if i in byte_of else b"" if sp.is_control(i) else p.encode() for i, p in enumerate(self.pieces)]
         self.score = {self.pieces[i]: sp.get_score(i) for i in plain}
         self.id = {self.pieces[i]: i for i in plain}
-        self.longest = max(map(len, self.id), default=1)
         if any(MARK in p.lstrip(MARK) for p in self.id):
             raise ValueError("a piece holds the space mark behind another character")
         # the normaliser as the library applies it: what it does to probes is what is compiled
@@ -56,11 +60,15 @@ class Transducer:
         self.lead = MARK if probe.startswith(MARK) else ""
         if probe != f"{self.lead}a{MARK}{MARK}b" or sp.normalize("ﬁ\tA") != f"{self.lead}ﬁ\tA":
             raise ValueError("only an identity normaliser with an optional leading space is compiled")
-        by_length = sorted(self.id, key=len)
         # scores that are those of a merge order mean a merging model
-        self.merges = all(self.score[p] <= 0 and self.score[p] == int(self.score[p]) for p in by_length)
+        self.merges = all(x <= 0 and x == int(x) for x in self.score.values())
+        self.weight = {p: -x for p, x in self.score.items()}
+        self.unknown = max(self.weight.values(), default=0.0) + 10
+        self.made = {p: self.last_merge(p) for p in self.id if len(p) > 1} if self.merges else {}
         self.trie: dict = {}
         for p in self.id:
+            if self.made.get(p, p) is None:
+                continue  # merging never makes it
             node = self.trie
             for c in p:
                 node = node.setdefault(c, {})
@@ -75,123 +83,80 @@ class Transducer:
     def normal(self, text: str) -> str:
         return self.lead + text.replace(" ", MARK) if text else ""
 
-    def merged(self, text: str) -> list[str]:
-        """Pieces that merging gives a short string: the best-scored adjacent pair first, the left one of equals."""
-        if len(text) <= SHORT:
-            few, score = list(text), self.score.get
-            while len(few) > 1:
-                top, at = None, 0
-                for i in range(len(few) - 1):
-                    w = score(few[i] + few[i + 1])
-                    if w is not None and (top is None or w > top):
-                        top, at = w, i
-                if top is None:
-                    break
-                few[at : at + 2] = [few[at] + few[at + 1]]
-            return few
-        parts: list[str | None] = list(text)
-        before, after = list(range(-1, len(parts) - 1)), list(range(1, len(parts) + 1))
-        heap: list[tuple[float, int, str]] = []
-
-        def offer(i: int) -> None:
-            j = after[i]
-            if 0 <= i and j < len(parts):
-                both = parts[i] + parts[j]
-                if both in self.score:
-                    heapq.heappush(heap, (-self.score[both], i, both))
-
-        for i in range(len(parts) - 1):
-            offer(i)
-        while heap:
-            _, i, both = heapq.heappop(heap)
-            if parts[i] is None or after[i] >= len(parts) or parts[i] + parts[after[i]] != both:
-                continue
-            j = after[i]
-            parts[i], parts[j], after[i] = both, None, after[j]
-            if after[i] < len(parts):
-                before[after[i]] = i
-            if before[i] >= 0:
-                offer(before[i])
-            offer(i)
-        return [p for p in parts if p is not None]
+    def last_merge(self, piece: str) -> tuple[str, str] | None:
+        """The two pieces that merging joins last to make a piece, None if it does not make it."""
+        few, weight, last = list(piece), self.weight.get, None
+        while len(few) > 1:
+            least, at = None, 0
+            for i in range(len(few) - 1):
+                w = weight(few[i] + few[i + 1])
+                if w is not None and (least is None or w < least):
+                    least, at = w, i
+            if least is None:
+                return None
+            last = (few[at], few[at + 1])
+            few[at : at + 2] = [few[at] + few[at + 1]]
+        return last
 
     def adjacent(self, a: str, b: str) -> bool:
-        """Whether merging leaves a and b side by side: the acceptor that a merging model is composed with."""
-        found = self.pairs.get((a, b))
-        if found is None:
-            found = self.merged(a + b) == [a, b]
-            if len(self.pairs) > 4 * CACHE:
-                self.pairs.clear()
-            self.pairs[a, b] = found
-        return found
-
-    def arcs(self, part: str, i: int) -> list[str]:
-        """Pieces that the trie reads from position i, shorter ones first; a character that no piece holds is one too."""
-        node, found = self.trie, []
-        for c in part[i : i + self.longest]:
-            node = node.get(c)
-            if node is None:
+        """Whether merging leaves a and b side by side: the acceptor that a merging model is composed with.
+
+        Merges are taken back from the latest; of equal ranks the left one comes first.
+        """
+        weight, made, limit, x, y = self.weight.get, self.made, math.inf, a, b
+        while True:
+            both = weight(x + y)
+            if both is not None and both < limit:
+                ok = False
+                break
+            one, two = weight(x) if len(x) > 1 else -1.0, weight(y) if len(y) > 1 else -1.0
+            if one < 0 and two < 0:
+                ok = True
                 break
-            if "" in node:
-                found.append(node[""])
-        if not found or len(found[0]) > 1:
-            found.insert(0, part[i])
-        return found
+            if one > two:
+                limit, x = one, made[x][1]
+            else:
+                limit, y = two + 0.5, made[y][0]
+        if len(self.pairs) > 4 * CACHE:
+            self.pairs.clear()
+        self.pairs[a, b] = ok
+        return ok
 
     def path(self, part: str) -> list[str]:
         """Pieces and single unknown characters on the shortest path through the lattice of one part."""
-        return self.accepted(part) if self.merges else self.lightest(part)
-
-    def lightest(self, part: str) -> list[str]:
-        """The path of least weight, position by position."""
-        n = len(part)
-        last: list[str] = [""] * (n + 1)  # the last piece on the path to each position
-        best = [0.0] + [float("inf")] * n
-        unknown = min(self.score.values(), default=0.0) - 10
+        n, trie, weight, pairs, merges = len(part), self.trie, self.weight.get, self.pairs, self.merges
+        best, last = [0.0] + [math.inf] * n, [""] * (n + 1)  # weight of the path to each position, and its last piece
+        unknown = self.unknown
         for i in range(n):
-            for p in self.arcs(part, i):
-                w, j = best[i] - self.score.get(p, unknown), i + len(p)
+            if best[i] == math.inf:
+                continue
+            node, before, j, found = trie, last[i], i, False
+            while j < n:
+                node = node.get(part[j])
+                if node is None:
+                    break
+                j += 1
+                p = node.get("")
+                if p is None:
+                    continue
+                found = True
+                if merges and i:
+                    ok = pairs.get((before, p))
+                    if not (self.adjacent(before, p) if ok is None else ok):
+                        continue
+                w = best[i] + weight(p)
                 if w < best[j]:
                     best[j], last[j] = w, p
+            if not found or "" not in trie.get(part[i], ()):  # a character that no piece holds
+                w = best[i] + unknown
+                if w < best[i + 1] and not (merges and i and not self.adjacent(before, part[i])):
+                    best[i + 1], last[i + 1] = w, part[i]
         out, j = [], n
         while j:
             out.append(last[j])
             j -= len(last[j])
         return out[::-1]
 
-    def accepted(self, part: str) -> list[str]:
-        """The path that the acceptor of merging leaves. One path leads to each position, so a position without a way on
-        is on no path to the end: arcs are followed depth first, longest first, and such positions are not entered again."""
-        out: list[str] = []
-        ways, lost, i, n, known = [self.arcs(part, 0)], set(), 0, len(part), self.pairs
-        while i < n:
-            way = ways[-1]
-            while way:
-                p = way.pop()
-                if i + len(p) in lost:
-                    continue
-                ok = known.get((out[-1], p) if out else (p, ""))
-                if ok is None:
-                    ok = self.adjacent(out[-1], p) if out else self.alone(p)
-                if ok:
-                    out.append(p)
-                    i += len(p)
-                    if i < n:
-                        ways.append(self.arcs(part, i))
-                    break
-            else:
-                lost.add(i)
-                ways.pop()
-                i -= len(out.pop())
-        return out
-
-    def alone(self, p: str) -> bool:
-        """Whether merging makes the characters of p one piece."""
-        found = self.pairs.get((p, ""))
-        if found is None:
-            found = self.pairs[p, ""] = self.merged(p) == [p]
-        return found
-
     def ids(self, text: str) -> bytes:
         """Ids of a text as 32-bit numbers."""
         out = []
