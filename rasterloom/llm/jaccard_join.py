@@ -10,9 +10,11 @@ two sets that overlap enough must share one of the first n - least + 1 shingles
 these only. In each node all points are first verified against the node's smallest id; the links join points into
 components. Nodes that then hold points of several components get a box tree over their points, and pairs of different
 components that survive its bound are verified. Pairs within a component need no look: they are joined. So no link
-between components is missed, and none is made that was not verified.
+between components is missed, and none is made that was not verified. This part of the work, an index from rare
+single-shingle groups, is what makes the join near linear; boxes of many coordinates alone would not part a large table.
 
-Nodes with many points of several components are cut into blocks, and each pair of blocks is a task of its own.
+Nodes with many points of several components are cut into blocks. No two points of different components are both of a
+node's largest component, so only the others are crossed with all, each pair of blocks in a task of its own.
 
 Null and empty texts, and texts without words, have empty sets and link with nothing. With fewer words than the shingle
 length, the whole sequence is the one shingle. Repeated rows of an id each come back; they count as one document. A
@@ -239,16 +241,23 @@ def crossing(points_: DataFrame, entered: DataFrame, found: DataFrame, ws: Works
     mixed_ = labelled.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("members"), F.sum(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 40))).alias("also")).filter("lo < hi")
     # nodes of the same points, as those of one shared passage, are searched once
     mixed_ = ws.save(mixed_.groupBy("lo", "hi", "n", "members", "also").agg(F.min("node").alias("node")).select("node", "n"), "mixed")
-    members = labelled.join(mixed_, "node").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    members = members.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int"))
-    # a member goes to every pair of blocks that its block is in; small nodes share a task
-    members = members.select("node", "id", "component", "n", "block", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
+    members = ws.save(labelled.join(mixed_, "node"), "members")
+    # two points of different components are never both of a node's largest one: only the others are crossed with all
+    by = members.filter(F.col("n") > LEAF).groupBy("node", "component").agg(F.count("*").alias("k"))
+    largest = by.groupBy("node").agg(F.max(F.struct("k", "component")).alias("t")).select("node", F.col("t.component").alias("top"), F.col("t.k").alias("k"))
+    members = members.join(ws.save(largest, "largest"), "node", "left")
+    members = members.withColumn("few", F.col("component") != F.col("top"))
+    # a member is in one of the blocks of all; those not of the largest component are in one of their own blocks too
+    alls, fews = F.ceil(F.col("n") / BLOCK).cast("int"), F.greatest(F.lit(1), F.ceil((F.col("n") - F.col("k")) / BLOCK).cast("int"))
+    members = members.withColumn("alls", alls).withColumn("fews", fews)
+    mine = lambda of: F.pmod(F.xxhash64("id"), F.col(of).cast("long")).cast("int")
     small, parts = F.col("n") <= LEAF, partitions(mixed_.agg(F.sum("n")).first()[0] or 0, 50_000)
-    members = members.select(
-        "node", "id", "component", small.alias("small"), F.when(small, F.pmod("node", F.lit(parts))).otherwise(F.col("node")).alias("place"),
-        F.when(small, -1).otherwise(F.least("block", "other")).alias("i"), F.greatest("block", "other").alias("j"),
-        (F.col("block") <= F.col("other")).alias("first"), (F.col("block") >= F.col("other")).alias("second"),
-    )
+    rows = [members.filter(small).select("node", "id", "component", F.lit(True).alias("small"), F.pmod("node", F.lit(parts)).alias("place"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.lit(True).alias("first"))]
+    large = members.filter(~small)
+    place = ["node", "id", "component", F.lit(False).alias("small"), F.col("node").alias("place")]
+    rows.append(large.filter("few").select(*place, mine("fews").alias("i"), F.explode(F.expr("sequence(0, alls - 1)")).alias("j"), F.lit(True).alias("first")))
+    rows.append(large.select(*place, F.explode(F.expr("sequence(0, fews - 1)")).alias("i"), mine("alls").alias("j"), F.lit(False).alias("first")))
+    members = rows[0].unionByName(rows[1]).unionByName(rows[2])
     members = members.join(points_.select("id", "vec", F.col("n").alias("size")), "id")
 
     def search(table: pa.Table) -> pa.Table:
@@ -259,7 +268,10 @@ def crossing(points_: DataFrame, entered: DataFrame, found: DataFrame, ws: Works
             x, y = leaves(node, comp, sizes, vecs, percent)
             pair = np.unique(np.stack([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])]), axis=1)
             return pa.table({"a": pair[0], "b": pair[1]})
-        one, two = (np.flatnonzero(table.column(c).to_numpy()) for c in ("first", "second"))
+        first = table.column("first").to_numpy()
+        one, two = np.flatnonzero(first), np.flatnonzero(~first)
+        if not len(one) or not len(two):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         tree = Boxes(vecs[two], sizes[two])
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i in one:
