@@ -14,6 +14,8 @@ the input other than doc_id and text are left aside.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +32,8 @@ UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz
 #: Least bits that a candidate of its inferred encoding must hold, level of the FDR control, and bins of -log10 p.
 LEAST_BITS, LEVEL, BIN, MOST_BIN = 100, 0.05, 0.02, 3000
 SPAN = "array<struct<s:int,e:int,v:string>>"
+#: Matches that are placed one after the other.
+LOT = 256
 
 
 def spans(text: Column, pattern: str, group: int = 0) -> Column:
@@ -39,13 +43,28 @@ def spans(text: Column, pattern: str, group: int = 0) -> Column:
     """
     pieces = F.regexp_extract_all(text, F.lit(rf"\G(?s:.*?)(?:{pattern})"), F.lit(0))
     parts = F.transform(pieces, lambda p: F.struct(F.length(p).alias("n"), F.length(F.regexp_extract(p, pattern, 0)).alias("m"), F.regexp_extract(p, pattern, group).alias("v")))
-    zero = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {SPAN})").alias("out"))
+    empty = F.expr(f"cast(array() as {SPAN})")
 
     def step(a: Column, x: Column) -> Column:
         at = a["at"] + x["n"]
         return F.struct(at.alias("at"), F.concat(a["out"], F.array(F.struct((at - x["m"]).alias("s"), at.alias("e"), x["v"].alias("v")))).alias("out"))
 
-    return F.aggregate(parts, zero, step, lambda a: a["out"])
+    def placed(p: Column) -> Column:
+        """Lots of matches: the lengths of lots give where each begins, so that no list grows longer than a lot."""
+        lots = F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / LOT).cast("int")), lambda i: F.slice(p, i * LOT + 1, LOT))
+        return let(lots, lambda ls: F.flatten(F.zip_with(ls, begins(ls), lambda lot, at: F.aggregate(lot, F.struct(at.alias("at"), empty.alias("out")), step, lambda a: a["out"]))))
+
+    def begins(lots: Column) -> Column:
+        lengths = F.transform(lots, lambda lot: F.aggregate(lot, F.lit(0), lambda a, x: a + x["n"]))
+        zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+        return F.aggregate(lengths, zero, lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+
+    return let(parts, lambda p: F.when(F.size(p) > 0, placed(p)).otherwise(empty))
+
+
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once."""
+    return F.transform(F.array(value), f)[0]
 
 
 def tail(z: Column) -> Column:
@@ -67,7 +86,8 @@ def measured(found: DataFrame) -> DataFrame:
     letters = F.when(k == "hex", DIGITS + LOWER[:6]).when(k == "base32", UPPER + DIGITS[2:8]).when(k == "alnum", UPPER + LOWER + DIGITS).otherwise(UPPER + LOWER + DIGITS + "+/")
     out = out.withColumn("letters", letters).withColumn("t", F.when(k == "hex", F.lower("t")).otherwise(F.col("t")))
     out = out.withColumn("b", F.length("letters").cast("double")).withColumn("n", F.length("t").cast("double"))
-    out = out.withColumn("x", F.expr("transform(sequence(1, length(t)), i -> locate(substr(t, i, 1), letters) - 1)"))
+    # cut into characters once: finding each by its position would walk the string anew
+    out = out.withColumn("x", F.expr("transform(filter(split(t, ''), c -> c <> ''), c -> locate(c, letters) - 1)"))
     out = out.withColumn("next", F.expr("slice(x, 2, size(x))")).withColumn("mean", F.expr("aggregate(x, 0D, (a, v) -> a + v) / n"))
     out = out.withColumn("bits", F.col("n") * F.log2("b"))
     squares = F.expr("aggregate(array_distinct(x), 0D, (a, v) -> a + power(size(filter(x, y -> y = v)), 2))")
