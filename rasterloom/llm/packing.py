@@ -3,8 +3,8 @@
 Only sizes matter to a packing, so the plan is made over the histogram of sizes, whose length is bounded by the
 largest permitted capacity whatever the corpus: bins of equal contents are one group with a multiplicity. Sizes go
 from large to small; pieces of a size go to the open bins with the least room that fits, and what is left opens bins
-of the capacity with the least cost for each unit filled; at the end each bin is downsized to the smallest capacity
-that holds its contents. Pieces are then dealt to the plan by their rank within their size. Ranks come from counts
+of the capacity with the least cost for each unit filled, judged over all sizes that are still to come; at the end each
+bin is downsized to the smallest capacity that holds its contents. Pieces are then dealt to the plan by their rank within their size. Ranks come from counts
 by size and salt and a row number within each, so no task gets all pieces of one size.
 
 A document larger than the largest capacity is cut into pieces of that capacity and a rest. Null, zero or negative
@@ -25,11 +25,33 @@ from rasterloom.llm.common import Workspace
 CAPACITIES = (1024, 2048, 4096, 8192, 16384)
 #: Cost of a bin besides its capacity: the share of a step that does not depend on its length.
 OPENING = 64
+#: Dealings (48 bytes each) that are broadcast at most.
+MOST_DEALS = 1_000_000
 
 
-def opening(size: int, capacities: tuple[int, ...], fixed: int) -> int:
-    """The capacity with the least cost for each unit that pieces of this size fill in it."""
-    return min((c for c in capacities if c >= size), key=lambda c: ((c + fixed) / (c // size * size), c))
+def opening(size: int, left: int, below: list[int], histogram: dict[int, int], capacities: tuple[int, ...], fixed: int) -> int:
+    """The capacity of the bins to open for `left` pieces of a size, over the mix of sizes that is still to come.
+
+    For each capacity a bin is filled as best fit will fill it: copies of the size, then the largest of the sizes below
+    (ascending) that fits, each shared between the bins that would be opened. The least cost for each unit filled wins,
+    the bin downsized to what it then holds.
+    """
+    best = None
+    for c in capacities:
+        if c < size:
+            continue
+        copies = min(left, c // size)
+        bins, filled = -(-left // copies), copies * size
+        at = bisect.bisect_right(below, c - filled)
+        while at:
+            s = below[at - 1]
+            more = min(histogram[s] // bins, (c - filled) // s)
+            filled += more * s
+            at = min(at - 1, bisect.bisect_right(below, c - filled))
+        cost = (next(x for x in capacities if x >= filled) + fixed) / filled
+        if best is None or cost < best[0]:
+            best = (cost, c)
+    return best[1]
 
 
 def plan(histogram: dict[int, int], capacities: tuple[int, ...] = CAPACITIES, fixed: int = OPENING) -> list[tuple[int, int, int, int, int, int]]:
@@ -52,12 +74,14 @@ def plan(histogram: dict[int, int], capacities: tuple[int, ...] = CAPACITIES, fi
             groups[r] = []
         groups[r].append([r, n, contents])
 
+    below = sorted(histogram)
     for size in sorted(histogram, reverse=True):
+        below.pop()  # sizes that are still to come
         left, rank = histogram[size], 0
         while left:
             at = bisect.bisect_left(room, size)
             if at == len(room):
-                c = opening(size, capacities, fixed)
+                c = opening(size, left, below, histogram, capacities, fixed)
                 k = c // size
                 full, rest = divmod(left, k)
                 for many, copies in ((full, k), (1 if rest else 0, rest)):
@@ -117,7 +141,8 @@ def pack(docs: DataFrame, size: str, capacities: tuple[int, ...] = CAPACITIES, f
     )
     before = Window.partitionBy("piece_size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).select("piece_size", "salt", "before")
-    offsets = offsets.join(F.broadcast(deals), "piece_size")
+    # one row for each size at most, with some ten dealings each whatever the corpus: their number is checked all the same
+    offsets = offsets.join(F.broadcast(deals) if len(dealt) <= MOST_DEALS else deals, "piece_size")
     # Dealings that meet this salt's ranks: few of them, found before the join with the pieces.
     last = F.lead("before").over(Window.partitionBy("piece_size").orderBy("salt"))
     offsets = offsets.withColumn("after", F.coalesce(last, F.lit(1 << 62))).withColumn("deals", F.expr("filter(deals, d -> d.r1 >= before and d.r0 < after)")).drop("after")
