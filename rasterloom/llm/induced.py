@@ -15,7 +15,7 @@ import tempfile
 import numpy as np
 
 #: Tuples that the queues of one order hold in memory before the fullest go to disk.
-HELD = 8_000_000
+HELD = 1 << 20
 
 
 class Queues:

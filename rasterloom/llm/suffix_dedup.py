@@ -31,7 +31,9 @@ from pyspark.sql import functions as F
 from rasterloom.llm.common import Workspace, as_bytes, freed, partitions, slices
 from rasterloom.llm.induced import suffix_order
 
-GRAM, SLICE, BUCKETS, SHARD = 24, 2 << 20, 64, 4 << 20
+GRAM, SLICE, SHARD = 24, 2 << 20, 4 << 20
+#: Bytes of text whose runs' values are compared in one bucket.
+BUCKET = 64 << 20
 PLACE = np.uint64((1 << 28) - 1)
 DOCS = "doc_id long, n long, fp binary, sha string"
 
@@ -101,7 +103,7 @@ def runs(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.nd
 RUNS = "slice long, bucket int, docs binary, starts binary, windows binary, values binary, tags binary"
 
 
-def described(docs: DataFrame, length: int) -> DataFrame:
+def described(docs: DataFrame, length: int, buckets: int) -> DataFrame:
     """For each slice of texts a row (bucket -1) with ids, sizes, fingerprints, digests, and its runs by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,9 +114,9 @@ def described(docs: DataFrame, length: int) -> DataFrame:
                 null = ids.is_null().to_numpy(zero_copy_only=False)
                 fps = [xxhash.xxh3_128_digest(t) for t in texts]
                 doc, at, n, value, twice = runs([b"" if z else t for t, z in zip(texts, null, strict=True)], length)
-                bucket = (value % np.uint64(BUCKETS)).astype(np.int64)
+                bucket = (value % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
-                edges = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
+                edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
                 name = uuid.uuid4().int >> 66
                 shas = b"".join(hashlib.sha256(t).digest() for t in texts)
                 rows = [(name, -1, ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).tobytes(), np.array([len(t) for t in texts], np.int64).tobytes(), null.astype(np.uint8).tobytes(), b"".join(fps), shas)]
@@ -184,7 +186,11 @@ def kept_runs(mine: pa.Table, bits: pa.Table) -> pa.Table:
 
 
 def strings(joined: DataFrame, shards: int, length: int) -> DataFrame:
-    """Strings of runs by shard: each once for a slice, with the places that hold it."""
+    """Strings of runs by shard: each once for a slice, with the slice's first place that holds it.
+
+    All other places of the slice are later than that one, whatever else there is: they are stretches already (ids,
+    starts and ends in `done`), dealt by slice, so that a passage of very many documents fills no shard.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,16 +201,18 @@ def strings(joined: DataFrame, shards: int, length: int) -> DataFrame:
                     text += [t[s:e] for s, e in zip(a.tolist(), (a + w + length - 1).tolist(), strict=True)]
                     ids.append(np.full(len(a), i, np.int64))
                     at.append(a)
+                    n.append(w + length - 1)
                     values.append(np.frombuffer(v, np.uint64))
                 if not text:
                     continue
                 coded = pa.array(text, pa.binary()).dictionary_encode()
+                del text
                 code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-                ids_, at_, value = np.concatenate(ids), np.concatenate(at), np.concatenate(values)
-                order = np.argsort(code, kind="stable")
-                code, ids_, at_, value = code[order], ids_[order], at_[order], value[order]
-                cut = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
-                count = np.diff(np.append(cut, len(code)))
+                ids_, at_, n_, value = np.concatenate(ids), np.concatenate(at), np.concatenate(n), np.concatenate(values)
+                order = np.lexsort((at_, ids_, code))
+                code, ids_, at_, n_, value = code[order], ids_[order], at_[order], n_[order], value[order]
+                head = np.append(True, code[1:] != code[:-1])
+                cut, rest = np.flatnonzero(head), np.flatnonzero(~head)
                 own = value[cut]
                 shard = ((own >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
                 names = coded.dictionary.to_pylist()
@@ -212,13 +220,15 @@ def strings(joined: DataFrame, shards: int, length: int) -> DataFrame:
                 edges = np.flatnonzero(np.append(True, shard[by][1:] != shard[by][:-1]))
                 rows = []
                 for group in np.split(by, edges[1:]):
-                    places = np.concatenate([np.arange(cut[g], cut[g] + count[g]) for g in group])
-                    mine = [names[code[cut[g]]] for g in group]
-                    rows.append((int(shard[group[0]]), b"".join(mine), np.array([len(m) for m in mine], np.int64).tobytes(), own[group].tobytes(), count[group].astype(np.int64).tobytes(), ids_[places].tobytes(), at_[places].tobytes()))
+                    places, mine = cut[group], [names[c] for c in code[cut[group]]]
+                    rows.append((int(shard[group[0]]), b"".join(mine), np.array([len(m) for m in mine], np.int64).tobytes(), own[group].tobytes(), ids_[places].tobytes(), at_[places].tobytes(), None))
+                if len(rest):
+                    known = merged(ids_[rest], at_[rest], at_[rest] + n_[rest])
+                    rows.append((int(own[0] >> np.uint64(8)) % shards, b"", b"", b"", b"", b"", np.concatenate(known).tobytes()))
                 cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["shard", "bytes", "sizes", "values", "counts", "ids", "starts"])
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["shard", "bytes", "sizes", "values", "ids", "starts", "done"])
 
-    return joined.select("doc_id", "text", "starts", "windows", "values").mapInArrow(run, "shard long, bytes binary, sizes binary, values binary, counts binary, ids binary, starts binary")
+    return joined.select("doc_id", "text", "starts", "windows", "values").mapInArrow(run, "shard long, bytes binary, sizes binary, values binary, ids binary, starts binary, done binary")
 
 
 def merged(ids: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -236,24 +246,25 @@ def merged(ids: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
 
 def later(table: pa.Table, length: int) -> pa.Table:
     """Stretches of a shard that also start earlier."""
-    every = {c: table.column(c).to_pylist() for c in ("bytes", "sizes", "values", "counts", "ids", "starts")}
+    every = {c: table.column(c).to_pylist() for c in ("bytes", "sizes", "values", "ids", "starts")}
     kind = {"values": np.uint64}
-    flat = {c: np.concatenate([np.frombuffer(x, kind.get(c, np.int64)) for x in every[c]]) for c in ("sizes", "values", "counts", "ids", "starts")}
+    flat = {c: np.concatenate([np.frombuffer(x, kind.get(c, np.int64)) for x in every[c]]) for c in ("sizes", "values", "ids", "starts")}
     offsets = np.append(0, np.cumsum(flat["sizes"]))
     coded = pa.Array.from_buffers(pa.large_binary(), len(flat["sizes"]), [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(b"".join(every["bytes"]))]).dictionary_encode()
-    code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    string = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     k = len(coded.dictionary)
     size, value = np.zeros(k, np.int64), np.zeros(k, np.uint64)
-    size[code], value[code] = flat["sizes"], flat["values"]
-    string = np.repeat(code, flat["counts"])
+    size[string], value[string] = flat["sizes"], flat["values"]
     order = np.lexsort((flat["starts"], flat["ids"], string))
     string, ids, start = string[order], flat["ids"][order], flat["starts"][order]
-    head = np.append(True, string[1:] != string[:-1])
+    head = np.append(True, string[1:] != string[:-1])[: len(string)]
     out = [(ids[~head], start[~head], start[~head] + size[string[~head]])]
+    out += [tuple(np.frombuffer(d, np.int64).reshape(3, -1)) for d in table.column("done").to_pylist() if d is not None]
     first_id, first_at = ids[head], start[head]
     # strings that share a value with another, or hold their own least hash twice
     by = np.argsort(value, kind="stable")
-    alone = np.append(True, value[by][1:] != value[by][:-1]) & np.append(value[by][1:] != value[by][:-1], True)
+    fresh = value[by][1:] != value[by][:-1]
+    alone = (np.append(True, fresh) & np.append(fresh, True))[:k]
     inner = size - length + 1 > length - GRAM + 1
     chosen = np.sort(by[~alone | inner[by] | may_repeat(coded.dictionary, by, length)])
     # as many strings at a time as a shard is meant to hold, whole values together
@@ -297,7 +308,8 @@ def may_repeat(names: pa.Array, which: np.ndarray, length: int) -> np.ndarray:
 
 def intervals(docs: DataFrame, length: int, ws: Workspace) -> tuple[DataFrame, DataFrame]:
     """Rows of documents (DOCS, with `copy`: equal to an earlier document), and stretches s, e to remove by doc_id."""
-    kept = ws.save(described(docs, length), "runs")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    kept = ws.save(described(docs, length, partitions(size, BUCKET)), "runs")
     every = ws.save(unpacked(kept), "docs")
     real = every.filter("doc_id is not null")
     first = ws.save(real.groupBy("fp").agg(F.min("doc_id").alias("first")), "first")
