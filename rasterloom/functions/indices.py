@@ -71,7 +71,7 @@ def harmonised(dn: Column, baseline: Column, scale: Column, offset: Column, appl
     """Digital number to reflectance x 10000: metadata first, then a provider's flag, then the processing baseline."""
     dn = F.when((dn == nodata) | F.isnan(dn), None).otherwise(dn)
     by_meta = (dn * scale + offset) * 10000
-    version = F.regexp_extract(baseline, r"^(\d+\.\d+)$", 1).try_cast("double")
+    version = F.trim(baseline).try_cast("double")
     missing = F.raise_error(F.lit("processing baseline is missing or not a number")).cast("double")
     by_version = F.when(version.isNull(), missing).when(version >= 4.0, dn - 1000).otherwise(dn)
     out = F.when(scale.isNotNull() & offset.isNotNull(), by_meta).when(F.coalesce(applied, F.lit(False)), dn).otherwise(by_version)

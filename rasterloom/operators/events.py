@@ -42,10 +42,12 @@ def dense_days(daily: DataFrame, key: list[str], day: str) -> DataFrame:
     return days.join(daily, [*key, day], "left")
 
 
-def rain_before(daily: DataFrame, day: str, value: str, k: int, out: str = "rain") -> DataFrame:
-    """Sum over the k days before each day, that day left out, missing days 0."""
-    n = F.datediff(F.col(day), F.lit("1970-01-01").cast("date"))
-    return daily.withColumn("_n", n).withColumn(out, F.coalesce(F.sum(value).over(Window.partitionBy(F.lit(1)).orderBy("_n").rangeBetween(-k, -1)), F.lit(0.0))).drop("_n")
+def rain_before(daily: DataFrame, day: str, value: str, k: int, out: str = "rain", keys: list[str] | None = None) -> DataFrame:
+    """Sum over the k days before each day of a site, that day left out, missing days 0: each day is added to the k after it."""
+    keys = keys or []
+    later = daily.select(*keys, F.explode(F.sequence(F.lit(1), F.lit(k))).alias("_i"), F.col(day).alias("_day"), value)
+    sums = later.groupBy(*keys, F.date_add("_day", F.col("_i")).alias(day)).agg(F.sum(value).alias(out))
+    return daily.join(sums, [*keys, day], "left").withColumn(out, F.coalesce(out, F.lit(0.0)))
 
 
 def weather_summary(events: DataFrame, daily: DataFrame, k: int = 30, wet: float = 1.0) -> DataFrame:
@@ -100,3 +102,24 @@ def transitions(obs: DataFrame, keys: list[str], day: str, green: str, bare: str
 def chunks(first: str, last: str, days: int = 10) -> str:
     """SQL of (start, length) requests of at most `days` days that cover a range."""
     return f"select explode(transform(sequence(date'{first}', date'{last}', interval {days} days), d -> named_struct('start', d, 'days', least({days}, datediff(date'{last}', d) + 1)))) as chunk"
+
+
+def requests(ranges: DataFrame, first: str, last: str, days: int = 10) -> DataFrame:
+    """Each range of dates as requests (start, days) of at most `days` days; none where the last date is before the first."""
+    starts = F.explode(F.expr(f"transform(sequence(0, datediff({last}, {first}), {days}), k -> k)"))
+    cut = ranges.filter(F.col(last) >= F.col(first)).withColumn("_k", starts)
+    return cut.withColumn("start", F.date_add(first, F.col("_k"))).withColumn("days", F.least(F.lit(days), F.datediff(last, "start") + 1)).drop("_k")
+
+
+def weather_at(rows: DataFrame, weather: DataFrame, digits: int = 3) -> DataFrame:
+    """Rows with the weather of their rounded place and day: one cached series serves all that are near."""
+    at = rows.withColumn("_lat", F.round("lat", digits)).withColumn("_lon", F.round("lon", digits))
+    w = weather.select(F.round("lat", digits).alias("_lat"), F.round("lon", digits).alias("_lon"), "day", *[c for c in weather.columns if c not in ("lat", "lon", "day")])
+    return at.join(w, ["_lat", "_lon", "day"]).drop("_lat", "_lon")
+
+
+def published_context(rows: DataFrame, release: DataFrame, site: str) -> DataFrame:
+    """Events (site, yr) with whether their year is published, its figure, and the next year's."""
+    own = release.select(site, "yr", F.col("ha").alias("ha"))
+    following = release.select(site, (F.col("yr") - 1).alias("yr"), F.col("ha").alias("ha_next"))
+    return rows.join(own, [site, "yr"], "left").join(following, [site, "yr"], "left").withColumn("published", F.col("ha").isNotNull())

@@ -42,7 +42,7 @@ def z_scores(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """Columns less their mean over population deviation plus 1e-9, by group: an aggregate joined back."""
     aggs = [f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))]
     stats = df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)
-    out = df.join(F.broadcast(stats), keys) if keys else df.crossJoin(F.broadcast(stats))
+    out = df.join(stats, keys) if keys else df.crossJoin(F.broadcast(stats))  # without keys: one row
     for c in columns:
         out = out.withColumn(f"z_{c}", (F.col(c) - F.col(f"_m_{c}")) / (F.col(f"_s_{c}") + 1e-9))
     return out.drop(*[f"_{n}_{c}" for c in columns for n in "ms"])
@@ -141,7 +141,7 @@ def stratified(df: DataFrame, stratum: str, key: str, n: int, seed: int) -> Data
 def post_stratified(df: DataFrame, stratum: str, population: DataFrame, value: str) -> DataFrame:
     """Population-weighted mean of strata means; population has stratum, pop."""
     means = df.groupBy(stratum).agg(F.avg(value).alias("m"), F.count("*").alias("n"))
-    return means.join(F.broadcast(population), stratum).agg(F.try_divide(F.sum(F.col("pop") * F.col("m")), F.sum("pop")).alias("estimate"), F.sum("n").alias("n"))
+    return means.join(population, stratum).agg(F.try_divide(F.sum(F.col("pop") * F.col("m")), F.sum("pop")).alias("estimate"), F.sum("n").alias("n"))
 
 
 def histogram(df: DataFrame, value: str, bounds: list[float]) -> DataFrame:
@@ -162,3 +162,27 @@ def same_keys(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Keys that only one of two tables has; empty where the sets are equal."""
     left, right = a.select(key).distinct(), b.select(key).distinct()
     return left.join(right, key, "left_anti").withColumn("side", F.lit("left")).union(right.join(left, key, "left_anti").withColumn("side", F.lit("right")))
+
+
+def looked_up(points: DataFrame, mask: DataFrame, keys: list[str], flag: str) -> DataFrame:
+    """Points with the mask's value at their pixel as text: "" where there is none, never 0."""
+    m = mask.select(*keys, F.col(flag).alias("_m"))
+    return points.join(m, keys, "left").withColumn("predicted", F.when(F.col("_m").isNull(), "").when(F.col("_m"), "1").otherwise("0")).drop("_m")
+
+
+def mismatches(cache: DataFrame, cards: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """keys, fault: cards that are missing, and those whose value differs from the cache's."""
+    c = cards.select(*keys, F.col(value).alias("_card"), F.lit(True).alias("_there"))
+    both = cache.join(c, keys, "left")
+    fault = F.when(F.col("_there").isNull(), "missing").when(~F.col(value).eqNullSafe(F.col("_card")), name)
+    return both.withColumn("fault", fault).filter("fault is not null").select(*keys, "fault")
+
+
+def near_register(value: Column, register: Column, share: float = 0.08) -> Column:
+    """Within a share of the registered figure."""
+    return F.abs(value - register) <= share * register
+
+
+def no_drop(value: Column, before: Column, share: float = 0.15) -> Column:
+    """No more than a share below the last build."""
+    return value >= (1 - share) * before

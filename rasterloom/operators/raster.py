@@ -57,6 +57,26 @@ def interior(px: DataFrame, keys: list[str], mask: str, out: str = "interior") -
     return px.withColumn(out, F.col(mask) & F.col("_row") & F.col("_col")).drop("_row", "_col")
 
 
+def interior_wide(px: DataFrame, keys: list[str], mask: str, n: float, out: str = "interior") -> DataFrame:
+    """True pixels further than n pixels from any that is not, outside the grid included: the whole disk must be true."""
+    offsets = disk(n)
+    core = spread(px, keys, mask, offsets).filter(F.col("hits") == len(offsets)).select(*keys, "r", "c", F.lit(True).alias("_core"))
+    return px.join(core, [*keys, "r", "c"], "left").withColumn(out, F.col("_core").isNotNull()).drop("_core")
+
+
+def edges_inside(px: DataFrame, keys: list[str], mask: str, out: str = "edge") -> DataFrame:
+    """True pixels whose mask differs from the upper or left neighbour's: the one-sided outline."""
+    row, column = Window.partitionBy(*keys, "r").orderBy("c"), Window.partitionBy(*keys, "c").orderBy("r")
+    left = (F.lag("c").over(row) == F.col("c") - 1) & (F.lag(mask).over(row) != F.col(mask))
+    above = (F.lag("r").over(column) == F.col("r") - 1) & (F.lag(mask).over(column) != F.col(mask))
+    return px.withColumn("_a", left).withColumn("_b", above).withColumn(out, F.col(mask) & (F.coalesce("_a", F.lit(False)) | F.coalesce("_b", F.lit(False)))).drop("_a", "_b")
+
+
+def edges_eroded(px: DataFrame, keys: list[str], mask: str, out: str = "edge") -> DataFrame:
+    """True pixels that erosion by the four edge neighbours takes away."""
+    return interior(px, keys, mask, "_in").withColumn(out, F.col(mask) & ~F.col("_in")).drop("_in")
+
+
 def edges(px: DataFrame, keys: list[str], mask: str, out: str = "edge") -> DataFrame:
     """Pixels whose mask differs from a right or lower neighbour's."""
     row, column = Window.partitionBy(*keys, "r").orderBy("c"), Window.partitionBy(*keys, "c").orderBy("r")
@@ -144,7 +164,8 @@ def regrid(px: DataFrame, keys: list[str], value: str, size: float, target: floa
     return by.select(*keys, "R", "C", F.try_divide("_s", "_t").alias("mean"), (F.coalesce("_t", F.lit(0.0)) / (target * target)).alias("coverage"))
 
 
-def coarse_label(mean: Column, coverage: Column) -> Column:
+def coarse_label(mean: Column | str, coverage: Column | str) -> Column:
+    mean, coverage = (F.col(x) if isinstance(x, str) else x for x in (mean, coverage))
     return F.coalesce((mean >= 0.5) & (coverage >= 0.95 - 1e-12), F.lit(False))
 
 
@@ -159,6 +180,82 @@ def bilinear(px: DataFrame, points: DataFrame, value: str) -> DataFrame:
     return got.groupBy("pid").agg(F.try_divide(F.sum(seen * F.col("_v")), F.sum(seen)).alias("value"))
 
 
+def footprint(width: float, dx: float, dy: float) -> list[tuple[int, int]]:
+    """Offsets of a disk of this width in metres on a grid of dx by dy: pixel centres no further than half of it."""
+    import math
+
+    rows, cols = math.ceil(width / 2 / dy), math.ceil(width / 2 / dx)
+    return [(i, j) for i in range(-rows, rows + 1) for j in range(-cols, cols + 1) if (i * dy) ** 2 + (j * dx) ** 2 <= (width / 2) ** 2]
+
+
+def narrow(px: DataFrame, keys: list[str], mask: str, width: float = 10.0, dx: float = 3.0, dy: float = 3.0) -> DataFrame:
+    """keys, pixels, hectares and share of a mask that opening by a disk takes away; the share is NULL without a mask."""
+    o = opened(px, keys, mask, footprint(width, dx, dy), "_o")
+    gone = F.count_if(F.col(mask) & ~F.col("_o"))
+    aggs = [gone.alias("pixels"), (gone * (dx * dy / 10000)).alias("ha"), F.try_divide(gone.cast("double"), F.count_if(mask)).alias("share")]
+    return o.groupBy(*keys).agg(*aggs) if keys else o.agg(*aggs)
+
+
+def first_clear(frames: DataFrame, keys: list[str], covered: str, clear: str, rank: str) -> DataFrame:
+    """The clear flag of the first frame that covers each cell."""
+    return frames.filter(covered).groupBy(*keys, "r", "c").agg(F.min_by(clear, rank).alias(clear))
+
+
+def compared(fine: DataFrame, coarse: DataFrame, size: float, target: float) -> DataFrame:
+    """One row about a fine mask (r, c, m, assessed) and a coarse one (r, c, m, seen) of the same place.
+
+    The fine mask is aggregated to the coarse grid; cells that both assess are the common support.
+    """
+    grid = regrid(fine.withColumn("_v", F.when(F.col("assessed"), F.col("m").cast("double"))), [], "_v", size, target)
+    cells = grid.select(F.col("R").alias("r"), F.col("C").alias("c"), coarse_label("mean", "coverage").alias("f"), (F.col("coverage") >= 0.95 - 1e-12).alias("_ok"))
+    both = coarse.join(cells, ["r", "c"], "left").select("m", F.coalesce("f", F.lit(False)).alias("f"), (F.coalesce("_ok", F.lit(False)) & F.col("seen")).alias("common"))
+    a, b, s = F.col("f") & F.col("common"), F.col("m") & F.col("common"), target * target / 10000
+    report = both.agg(
+        F.count_if("common").alias("support"), (F.count_if(a) * s).alias("fine_common_ha"), (F.count_if(b) * s).alias("coarse_ha"), F.try_divide(F.count_if(a).cast("double"), F.count_if(b)).alias("ratio"),
+        F.try_divide(F.count_if(a & b).cast("double"), F.count_if(a | b)).alias("iou"), F.count_if(a & ~b).alias("only_fine"), F.count_if(b & ~a).alias("only_coarse"), F.count_if(a & b).alias("shared"),
+    )
+    own = fine.withColumn("m", F.col("m") & F.col("assessed"))
+    area = own.agg((F.count_if("m") * (size * size / 10000)).alias("fine_ha"))
+    return report.crossJoin(F.broadcast(area)).crossJoin(F.broadcast(narrow(own, [], "m", dx=size, dy=size).select(F.col("ha").alias("narrow_ha"), F.col("share").alias("narrow_share"))))
+
+
+def edge_distance(px: DataFrame, keys: list[str], mask: str, out: str = "distance") -> DataFrame:
+    """Distance of each true pixel to the nearest that is not, NULL without any: along its row, then over the rows
+    that are no further than that."""
+    row, column = Window.partitionBy(*keys, "r").orderBy("c"), Window.partitionBy(*keys, "c").orderBy("r")
+    none = F.when(~F.col(mask), F.col("c"))
+    left, right = F.last(none, True).over(row.rowsBetween(Window.unboundedPreceding, 0)), F.first(none, True).over(row.rowsBetween(0, Window.unboundedFollowing))
+    here = px.withColumn("_g", F.least(F.col("c") - left, right - F.col("c")))
+    gone = F.when(~F.col(mask), F.col("r"))
+    up, down = F.last(gone, True).over(column.rowsBetween(Window.unboundedPreceding, 0)), F.first(gone, True).over(column.rowsBetween(0, Window.unboundedFollowing))
+    here = here.withColumn("_reach", F.least("_g", F.least(F.col("r") - up, down - F.col("r"))))
+    other = here.filter("_g is not null").select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("r").alias("_r"), F.col("c").alias("_c"), F.col("_g").alias("_d"))
+    same = F.col("c") == F.col("_c")
+    for k in keys:
+        same = same & (F.col(k) == F.col(f"_{k}"))
+    near = here.filter(mask).join(other, same & (F.abs(F.col("r") - F.col("_r")) <= F.coalesce("_reach", F.lit(1 << 30))))
+    by = near.groupBy(*keys, "r", "c").agg(F.sqrt(F.min((F.col("r") - F.col("_r")) * (F.col("r") - F.col("_r")) + F.col("_d") * F.col("_d")).cast("double")).alias(out))
+    return here.drop("_g", "_reach").join(by, [*keys, "r", "c"], "left")
+
+
+def most_central(px: DataFrame, keys: list[str], mask: str, avoid: DataFrame, core: int, gap: int, border: int) -> DataFrame:
+    """keys, r, c of the pixel furthest from a patch's edge whose square of `core` is whole, `gap` from every avoided
+    pixel and `border` from the grid's edge; the first row, then column, of equals."""
+    square = [(i, j) for i in range(-core, core + 1) for j in range(-core, core + 1)]
+    pure = spread(px, keys, mask, square).filter(F.col("hits") == len(square)).select(*keys, "r", "c")
+    size = px.groupBy(*keys).agg(F.max("r").alias("_mr"), F.max("c").alias("_mc")) if keys else px.agg(F.max("r").alias("_mr"), F.max("c").alias("_mc"))
+    pure = pure.join(F.broadcast(size), keys) if keys else pure.crossJoin(F.broadcast(size))
+    pure = pure.filter((F.col("r") >= border) & (F.col("c") >= border) & (F.col("r") <= F.col("_mr") - border) & (F.col("c") <= F.col("_mc") - border))
+    wide = [(i, j) for i in range(-gap, gap + 1) for j in range(-gap, gap + 1)]
+    taken = spread(avoid.withColumn("_t", F.lit(True)), keys, "_t", wide).select(*keys, "r", "c")
+    free = pure.join(taken, [*keys, "r", "c"], "left_anti")
+    far = edge_distance(px, keys, mask, "distance").select(*keys, "r", "c", "distance")
+    best = F.max_by(F.struct("r", "c", "distance"), F.struct("distance", -F.col("r"), -F.col("c")))
+    got = free.join(far, [*keys, "r", "c"])
+    by = got.groupBy(*keys).agg(best.alias("b")) if keys else got.agg(best.alias("b"))
+    return by.filter("b is not null").select(*keys, "b.r", "b.c", "b.distance")
+
+
 def densest(px: DataFrame, mask: str, rows: int, cols: int) -> DataFrame:
     """The window of rows x cols cells with most true pixels, by running sums both ways; ties to the first row, column."""
     a = px.withColumn("_s", F.sum(F.col(mask).cast("int")).over(Window.partitionBy("r").orderBy("c").rangeBetween(0, cols - 1)))
@@ -169,12 +266,10 @@ def densest(px: DataFrame, mask: str, rows: int, cols: int) -> DataFrame:
 
 
 def inside_polygon(points: DataFrame, edges_: DataFrame) -> DataFrame:
-    """Point ids with the polygons they are in: odd crossings; edges are pre-filtered by their rows' range."""
-    from rasterloom.functions.geodesy import crosses
+    """Point ids with the polygons they are in: odd crossings, points and edges meeting by rows."""
+    from rasterloom.operators.polygons import inside
 
-    e = edges_.withColumn("lo", F.least("ay", "by")).withColumn("hi", F.greatest("ay", "by"))
-    hit = points.join(F.broadcast(e), (F.col("y") >= F.col("lo")) & (F.col("y") < F.col("hi"))).filter(crosses(F.col("x"), F.col("y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")))
-    return hit.groupBy("pid", "poly").agg(F.count("*").alias("n")).filter("n % 2 = 1").select("pid", "poly")
+    return inside(points, edges_)
 
 
 def mosaic(frames: DataFrame, keys: list[str], value: str, rank: str) -> DataFrame:

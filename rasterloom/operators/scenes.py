@@ -38,8 +38,61 @@ def pick_clear(scenes: DataFrame, keys: list[str], min_clear: float) -> DataFram
 def composite_order(scenes: DataFrame, month: int, target: str) -> DataFrame:
     """Scenes ordered by season, nearness to a date, cloud and name; one for each day and tile."""
     order = [F.when(F.month("day") == month, 0).otherwise(1), F.abs(F.datediff("day", F.lit(target).cast("date"))), F.col("cloud"), F.col("scene")]
-    out = first_by(scenes, ["day", "tile"], *order)
-    return out.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    return ranked(first_by(scenes, ["day", "tile"], *order), *order, out="rank")
+
+
+def ranked(df: DataFrame, *order: Column, out: str = "rank") -> DataFrame:
+    """Rows numbered from 1 by a total order: ranges sorted on their own, then shifted by the rows before each."""
+    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    parts = parts.withColumn("_p", F.shiftright("_id", 33)).withColumn("_i", F.col("_id").bitwiseAND((1 << 33) - 1))
+    sizes = parts.groupBy("_p").agg(F.count("*").alias("_n"))  # a row for each range
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shift = sizes.withColumn("_before", before).select("_p", "_before")
+    return parts.join(F.broadcast(shift), "_p").withColumn(out, (F.col("_i") + F.col("_before") + 1).cast("int")).drop("_id", "_p", "_i", "_before")
+
+
+def provided(scenes: DataFrame, provider: str, signed: tuple[str, ...] = ("planetary",)) -> DataFrame:
+    """The scenes of one provider, with whether its addresses have to be signed: a partition of the catalogue."""
+    return scenes.filter(F.col("provider") == provider).withColumn("signed", F.lit(provider in signed))
+
+
+def search(scenes: DataFrame, box: tuple[float, float, float, float], first: str, last: str, max_cloud: float, limit: int = 1) -> DataFrame:
+    """The least cloudy scenes that meet a box within two dates; empty when there is none. All filters reach the scan."""
+    west, south, east, north = box
+    meets = (F.col("west") <= east) & (F.col("east") >= west) & (F.col("south") <= north) & (F.col("north") >= south)
+    return scenes.filter(meets & F.col("day").between(F.lit(first).cast("date"), F.lit(last).cast("date")) & (F.col("cloud") < max_cloud)).orderBy("cloud", "scene").limit(limit)
+
+
+def around(scenes: DataFrame, box: tuple[float, float, float, float], day: str, days: int, max_cloud: float = 0.5) -> DataFrame:
+    """Scenes that meet a box at most `days` from a date, with the difference in days and a missing clear share as 0."""
+    west, south, east, north = box
+    d0 = F.lit(day).cast("date")
+    meets = (F.col("west") <= east) & (F.col("east") >= west) & (F.col("south") <= north) & (F.col("north") >= south)
+    near = F.col("day").between(F.date_sub(d0, days), F.date_add(d0, days))
+    return scenes.filter(meets & near & (F.col("cloud") <= max_cloud)).withColumn("delta", F.datediff("day", d0)).withColumn("clear", F.coalesce("clear", F.lit(0.0)))
+
+
+def covering(frames: DataFrame, site_cells: DataFrame, keys: list[str], enough: float = 0.95, least: float = 0.90) -> DataFrame:
+    """For each site the frames to take: the nearest gap of days that covers it, the best date of that gap.
+
+    frames: keys, scene, day, delta, clear and the cells (array) that it has; site_cells: keys and how many cells (n) a
+    site has. On a date, frames are taken clearest first, those without new cells left out, until `enough` is covered;
+    dates compare by whether that was reached, cover, and fewer frames. A site's frames of one date are few, so a fold
+    over them is bounded.
+    """
+    f = frames.join(site_cells, keys).withColumn("gap", F.abs("delta"))
+    by = f.groupBy(*keys, "gap", "day").agg(F.sort_array(F.collect_list(F.struct((-F.col("clear")).alias("a"), (-F.size("cells")).alias("b"), "scene", "cells"))).alias("_f"), F.max("n").alias("n"))
+    zero = F.expr("named_struct('seen', cast(array() as array<bigint>), 'kept', cast(array() as array<bigint>))")
+
+    def step(a: Column, x: Column) -> Column:
+        new = F.array_union(a["seen"], x["cells"])
+        take = (F.size(new) > F.size(a["seen"])) & (F.size(a["seen"]) < enough * F.col("n"))
+        return F.when(take, F.struct(new.alias("seen"), F.concat(a["kept"], F.array(x["scene"])).alias("kept"))).otherwise(a)
+
+    dates = by.withColumn("_c", F.aggregate("_f", zero, step)).select(*keys, "gap", "day", F.col("_c.kept").alias("scenes"), (F.size("_c.seen") / F.col("n")).alias("cover"))
+    dates = dates.filter(F.size("scenes") > 0)
+    best = first_by(dates, [*keys, "gap"], F.desc(F.col("cover") >= enough), F.desc("cover"), F.size("scenes"), F.col("day"))
+    return first_by(best.filter(F.col("cover") >= least), keys, F.col("gap")).drop("gap")
 
 
 def season_max(site_scenes: DataFrame, value: str = "ha") -> DataFrame:

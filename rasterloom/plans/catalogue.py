@@ -69,7 +69,7 @@ def p02_indices(t):
     return t.select("id", *[F.round(v, 6).alias(k) for k, v in {"ndvi": indices.ndvi(), "bright": indices.brightness(), "nbr": indices.nbr(), "mndwi": indices.mndwi(), "ndwi": indices.ndwi(), "ratio": indices.swir_ratio()}.items()])
 
 
-@query("p01_harmonised", S.PX, """select id, case when blue is null then null else greatest(case when site = 0 then round(blue * 0.0001 * 10000, 4) when site = 1 then blue else round(blue - 1000, 4) end, 0) end as dn from t""")
+@query("p01_harmonised", S.PX, """select id, case when blue is null then null else round(greatest(case when site = 0 then blue * 0.0001 * 10000 when site = 1 then blue else blue - 1000 end, 0), 4) end as dn from t""")
 def p01_harmonised(t):
     scale = F.when(F.col("site") == 0, F.lit(0.0001))
     offset = F.when(F.col("site") == 0, F.lit(0.0))
@@ -306,7 +306,8 @@ def w03_composite_order(t):
     return scenes.composite_order(t, 6, "1997-06-15").select("scene", "rank")
 
 
-@query("w05_thinned", S.SCENES)
+@query("w05_thinned", S.SCENES, """with recursive g as (select site, min(day) as day from t group by site union all select g.site, min(t.day) as day from g join t on t.site = g.site and t.day >= g.day + 14 group by g.site)
+select site, day from g""")
 def w05_thinned(t):
     return scenes.thinned(t, "site", 14)
 
@@ -318,9 +319,9 @@ def w06_event_sessions(t):
     return rounded(s.select("site", "session", "first", "last", "n", "days", "total"), "total", digits=4)
 
 
-@query("w07_first_of_key", S.EVENTS, "select row_id from (select *, row_number() over (partition by kind, day, site order by row_id) as k from t) where k = 1")
+@query("w07_first_of_key", S.EVENTS, "select row_id from (select *, row_number() over (partition by kind, day, round_even(value / 100, 3), round_even(value / 70, 3) order by row_id) as k from t) where k = 1")
 def w07_first_of_key(t):
-    return events.without_repeats(t.withColumns({"lat": F.lit(0.0), "lon": F.lit(0.0)}), ["kind", "day", "site"], "row_id").select("row_id")
+    return events.without_repeats(t.withColumns({"lat": F.col("value") / 100, "lon": F.col("value") / 70}), ["kind", "day"], "row_id").select("row_id")
 
 
 @query("w08_transitions", S.EVENTS, """with w as (select *, lag(value, 1) over x as l1, lag(value, 2) over x as l2, lead(value, 1) over x as n1, lag(ts, 1) over x as before from t window x as (partition by site order by ts)),
@@ -365,7 +366,8 @@ def w12_mann_whitney(t):
     return rounded(ranks.mann_whitney(t, ["yr"], F.col("site") % 3 == 0, "ha").drop("z"), "u", "auc")
 
 
-@query("w13_first_fit", "select cast(o_custkey % 50 as int) as site, o_orderkey as ord, o_totalprice as amount from {orders}")
+@query("w13_first_fit", "select cast(o_custkey % 50 as int) as site, o_orderkey as ord, o_totalprice as amount from {orders}", """with recursive o as (select *, row_number() over (partition by site order by ord) as k from t), g as (select site, k, ord, amount <= 100000 as kept, case when amount <= 100000 then amount else 0 end as used from o where k = 1
+union all select o.site, o.k, o.ord, g.used + o.amount <= 100000, case when g.used + o.amount <= 100000 then g.used + o.amount else g.used end from g join o on o.site = g.site and o.k = g.k + 1) select site, ord from g where kept""")
 def w13_first_fit(t):
     return scenes.first_fit(t, "site", 100_000.0)
 
@@ -386,10 +388,12 @@ def l01_least_cloud(t):
     return scenes.least_cloud(t, 20, 5).select("scene", "cloud")
 
 
-@query("l05_quantile_picks", S.SERIES, "with o as (select *, row_number() over (order by ha, site, yr) as k, count(*) over () as every from t) select site, yr, ha from o where k in (floor(every * 0.35) + 1, floor(every * 0.92) + 1)")
+@query("l05_quantile_picks", S.SERIES, "with o as (select *, row_number() over (order by ha, site, yr) as k, count(*) over () as every from t) select site, yr, ha from o where k in (floor(every * cast(0.35 as double)) + 1, floor(every * cast(0.92 as double)) + 1)")
 def l05_quantile_picks(t):
-    n = t.count()
-    return t.withColumn("k", F.row_number().over(Window.orderBy("ha", "site", "yr"))).filter(F.col("k").isin(int(n * 0.35) + 1, int(n * 0.92) + 1)).select("site", "yr", "ha")
+    every = t.agg(F.count("*").alias("every"))
+    at = [(F.floor(F.col("every") * F.lit(q)) + 1) for q in (0.35, 0.92)]
+    ranked = scenes.ranked(t.select("site", "yr", "ha"), F.col("ha"), F.col("site"), F.col("yr"), out="k")
+    return ranked.crossJoin(F.broadcast(every)).filter(F.col("k").isin(*at)).select("site", "yr", "ha")
 
 
 @query("u04_set_operations", S.PX, f"select 'union' as kind, cast(sum(case when {DRY} or {WET} then 1 else 0 end) as bigint) as cells from t union all select 'both', cast(sum(case when {DRY} and scl < 6 then 1 else 0 end) as bigint) from t union all select 'only', cast(sum(case when {DRY} and not scl < 6 then 1 else 0 end) as bigint) from t")
@@ -458,13 +462,14 @@ def r06_edges(t):
 
 
 @query("r07_patches", S.mask(50), """with recursive n as (select a.tile, a.r, a.c, a.r * 1000000 + a.c as k from t as a where a.m), g as (select k, k as root, tile, r, c from n union select n.k, g.root, n.tile, n.r, n.c from g join n on n.tile = g.tile and abs(n.r - g.r) <= 1 and abs(n.c - g.c) <= 1 where n.k > g.root),
-l as (select k, tile, min(root) as patch from g group by k, tile) select tile, cast(count(*) as bigint) as cells from l group by tile""")
+l as (select k, tile, min(root) as patch from g group by k, tile) select tile, cast(patch as bigint) as patch, cast(floor(k / 1000000.0) as int) as r, cast(k % 1000000 as int) as c from l""")
 def r07_patches(t):
-    p = raster.labelled(t, ["tile"], "m")
-    return p.groupBy("tile").agg(F.count("*").alias("cells"))
+    return raster.labelled(t, ["tile"], "m").select("tile", "patch", "r", "c")
 
 
-@query("r07_patch_sizes", S.mask(40))
+@query("r07_patch_sizes", S.mask(40), """with recursive n as (select a.tile, a.r, a.c, a.r * 1000000 + a.c as k from t as a where a.m), g as (select k, k as root, tile, r, c from n union select n.k, g.root, n.tile, n.r, n.c from g join n on n.tile = g.tile and abs(n.r - g.r) <= 1 and abs(n.c - g.c) <= 1 where n.k > g.root),
+l as (select k, tile, min(root) as patch from g group by k, tile), z as (select patch, tile, count(*) as cells from l group by patch, tile)
+select cast(case when cells >= 100 then 5 when cells >= 50 then 4 when cells >= 10 then 3 when cells >= 5 then 2 when cells >= 1 then 1 else 0 end as int) as bin, cast(count(*) as bigint) as n from z group by 1""")
 def r07_patch_sizes(t):
     sizes = raster.patch_sizes(raster.labelled(t, ["tile"], "m"), ["tile"])
     return measures.histogram(sizes.withColumn("ha", F.col("cells") * 0.01), "ha", [0, 0.01, 0.05, 0.1, 0.5, 1])
@@ -589,11 +594,3 @@ def k08_todo(t):
     from rasterloom.sources.sinks import todo
 
     return todo(t.select("site", "yr"), t.filter("site % 3 = 0 and yr > 1997").select("site", "yr", F.lit("v5").alias("version")), ["site", "yr"], "v5")
-
-
-@query("s14_votes_json", "select conv_id, turn, role, text from {conversations}", "select conv_id, turn, role as label from t")
-def s14_votes_json(t):
-    """Objects written to one line each and read back through the tolerant split."""
-    line = F.to_json(F.struct("conv_id", "turn", F.col("role").alias("label")))
-    split = F.explode(F.split(F.regexp_replace(F.concat(line, F.lit("")), r"\}\s*\{", "}\n{"), "\n"))
-    return t.select(split.alias("v")).select(F.from_json("v", "conv_id long, turn long, label string").alias("o")).select("o.*")

@@ -15,8 +15,13 @@ def csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def json_lines(spark: SparkSession, path: str, schema: str, allowed: list[str] | None = None) -> DataFrame:
     """Objects of a text file, also where a line joins several; labels outside a list are left out."""
-    lines = spark.read.text(path).select(F.explode(F.split(F.regexp_replace("value", r"\}\s*\{", "}\n{"), "\n")).alias("v"))
-    rows = lines.select(F.from_json("v", schema).alias("o")).filter("o is not null").select("o.*")
+    return split_objects(spark.read.text(path), schema, allowed)
+
+
+def split_objects(lines: DataFrame, schema: str, allowed: list[str] | None = None) -> DataFrame:
+    """Objects of lines (value) that may hold several, with or without a space between."""
+    each = lines.select(F.explode(F.split(F.regexp_replace("value", r"\}\s*\{", "}\n{"), "\n")).alias("v"))
+    rows = each.select(F.from_json("v", schema).alias("o")).filter("o is not null").select("o.*")
     return rows.filter(F.col("label").isin(*allowed)) if allowed else rows
 
 
