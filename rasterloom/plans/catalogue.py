@@ -56,7 +56,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["flagship_top14"](spark, sf_dir)
 
 
-@query("flagship_top14", S.PX, f"""select site, yr, cast(sum(case when {DRY} then 1 else 0 end) as bigint) as cells, round(sum(case when {DRY} then 1 else 0 end) * 100.0 / 10000, 6) as ha
+@query("flagship_top14", S.PX, f"""select site, yr, cast(sum(case when {DRY} then 1 else 0 end) as bigint) as cells, round(sum(case
+when {DRY} then 1 else 0 end) * 100.0 / 10000, 6) as ha
 from t group by site, yr order by ha desc, site, yr limit 14""")
 def flagship_top14(t):
     by = t.groupBy("site", "yr").agg(F.count_if(masks.dry_bare()).alias("cells"), measures.area_ha(masks.dry_bare()).alias("ha"))
@@ -69,7 +70,8 @@ def p02_indices(t):
     return t.select("id", *[F.round(v, 6).alias(k) for k, v in {"ndvi": indices.ndvi(), "bright": indices.brightness(), "nbr": indices.nbr(), "mndwi": indices.mndwi(), "ndwi": indices.ndwi(), "ratio": indices.swir_ratio()}.items()])
 
 
-@query("p01_harmonised", S.PX, """select id, case when blue is null then null else round(greatest(case when site = 0 then blue * 0.0001 * 10000 when site = 1 then blue else blue - 1000 end, 0), 4) end as dn from t""")
+@query("p01_harmonised", S.PX, """select id, case when blue is null then null else round(greatest(case when site = 0 then blue * 0.0001 * 10000
+when site = 1 then blue else blue - 1000 end, 0), 4) end as dn from t""")
 def p01_harmonised(t):
     scale = F.when(F.col("site") == 0, F.lit(0.0001))
     offset = F.when(F.col("site") == 0, F.lit(0.0))
@@ -94,8 +96,10 @@ def p11_masks(t):
     return t.filter("n is not null").select("id", masks.visible(F.col("scl")).alias("visible"), masks.qa_clear(F.col("n") * 7).alias("qa"), masks.low_vegetation().alias("low"), masks.bare_by_ndvi().alias("bare"), masks.dry_bare().alias("dry"), masks.wet_bare().alias("wet"), masks.not_soil().alias("other"))
 
 
-@query("p15_rules_threshold", S.PX, f"""with th as (select site, yr, case when count({NDVI_E}) >= 100 then least(0.25, greatest(quantile_cont({NDVI_E}, 0.75) - 0.18, 0.10)) else 0.25 end as th from t group by site, yr)
-select site, yr, round(th, 6) as threshold, cast(sum(case when coalesce(not ({MNDWI_E} > 0 or swir1 / 10000 < 0.07) and {NDVI_E} < th and {NBR_E} > 0, false) then 1 else 0 end) as bigint) as cells
+@query("p15_rules_threshold", S.PX, f"""with th as (select site, yr, case when count({NDVI_E}) >= 100 then least(0.25,
+greatest(quantile_cont({NDVI_E}, 0.75) - 0.18, 0.10)) else 0.25 end as th from t group by site, yr)
+select site, yr, round(th, 6) as threshold, cast(sum(case
+when coalesce(not ({MNDWI_E} > 0 or swir1 / 10000 < 0.07) and {NDVI_E} < th and {NBR_E} > 0, false) then 1 else 0 end) as bigint) as cells
 from t join th using (site, yr) group by site, yr, th""")
 def p15_rules_threshold(t):
     th = measures.adaptive_threshold(t, ["site", "yr"], indices.ratio_eps("nir", "red"), F.lit(True)).select("site", "yr", "threshold")
@@ -139,7 +143,8 @@ def p35_mixing(t):
     return w.groupBy("w").agg(F.count_if(F.coalesce(seen, F.lit(False))).alias("cells"))
 
 
-@query("j01_key_sets", "select doc_id from {documents}", "select doc_id, 'left' as side from t where doc_id not in (select doc_id from other) union all select doc_id, 'right' from other where doc_id not in (select doc_id from t)", other="select doc_id from {labels}")
+@query("j01_key_sets", "select doc_id from {documents}", """select doc_id, 'left' as side from t where doc_id not in (select doc_id from other) union all select doc_id,
+'right' from other where doc_id not in (select doc_id from t)""", other="select doc_id from {labels}")
 def j01_key_sets(t, other):
     return measures.same_keys(t, other, "doc_id")
 
@@ -157,19 +162,25 @@ def j12_rain_before(t):
     return rounded(events.rain_before(t, "day", "rain", 7, "rain7").select("day", "rain7"), "rain7")
 
 
-@query("j13_after_event", S.EVENTS, """select row_id, exists (select 1 from other as o where o.site = t.site and o.distance <= 500 and date_diff('day', o.day, t.day) between 0 and 4) as after from t""",
+@query("j13_after_event", S.EVENTS, """select row_id, exists (select 1 from other as o
+where o.site = t.site and o.distance <= 500 and date_diff('day', o.day, t.day) between 0 and 4) as after
+from t""",
        other="select cast(user_id % 40 as int) as site, cast(ts as date) as day, value as distance from {events} where event_type = 'error'")
 def j13_after_event(t, other):
     return events.after_event(t, other, "site", days=4).select("row_id", "after")
 
 
-@query("a02_clear_share", S.PX, "select site, yr, round(coalesce(sum(case when scl not in (0,1,3,8,9,10,11) and r % 3 > 0 then 1 else 0 end) * 1.0 / nullif(sum(case when r % 3 > 0 then 1 else 0 end), 0), 0), 6) as clear from t group by site, yr")
+@query("a02_clear_share", S.PX, """select site, yr, round(coalesce(sum(case
+when scl not in (0,1,3,8,9,10,11) and r % 3 > 0 then 1 else 0 end) * 1.0 / nullif(sum(case
+when r % 3 > 0 then 1 else 0 end), 0), 0), 6) as clear from t group by site, yr""")
 def a02_clear_share(t):
     return rounded(t.groupBy("site", "yr").agg(measures.clear_share(masks.visible(F.col("scl")), F.col("r") % 3 > 0).alias("clear")), "clear")
 
 
-@query("a03_quality", S.PX, """select site, yr, round(avg(case when scl = 10 then 1 else 0 end), 6) as haze, round(avg(case when scl = 9 then 1 else 0 end), 6) as hot, round(avg(case when scl = 8 then 1 else 0 end), 6) as cloud,
-round(avg(case when scl = 3 then 1 else 0 end), 6) as shadow, round(avg(case when scl in (3, 8, 9, 10) then 0 else 1 end), 6) as clear from t group by site, yr""")
+@query("a03_quality", S.PX, """select site, yr, round(avg(case when scl = 10 then 1 else 0 end), 6) as haze, round(avg(case
+when scl = 9 then 1 else 0 end), 6) as hot, round(avg(case when scl = 8 then 1 else 0 end), 6) as cloud,
+round(avg(case when scl = 3 then 1 else 0 end), 6) as shadow, round(avg(case when scl in (3, 8, 9,
+10) then 0 else 1 end), 6) as clear from t group by site, yr""")
 def a03_quality(t):
     q = measures.quality(t, ["site", "yr"], *[F.col("scl") == k for k in (10, 9, 8, 3)], F.lit(True))
     return rounded(q, "haze", "hot", "cloud", "shadow", "clear")
@@ -200,31 +211,51 @@ def a09_season_max(t):
     return scenes.season_max(t).select("site", "yr", "scene", "ha")
 
 
-@query("a11_score_points", S.POINTS, "with u as (select 'by_size' as method, by_size as p, * from t union all select 'by_lang', by_lang, * from t), v as (select 'sample' as scope, 1.0 as w, * from u where p is not null union all select 'weighted', population * 1.0 / sample, * from u where p is not null), c as (select method, scope, sum(case when truth and p = 1 then w else 0 end) as tp, sum(case when not truth and p = 1 then w else 0 end) as fp, sum(case when truth and p <> 1 then w else 0 end) as fn, sum(case when not truth and p <> 1 then w else 0 end) as tn from v group by method, scope) select method, scope, round(tp / nullif(tp + fp, 0), 6) as precision, round(tp / nullif(tp + fn, 0), 6) as recall, round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) as f1, round((tp + tn) / nullif(tp + fp + fn + tn, 0), 6) as accuracy from c")
+@query("a11_score_points", S.POINTS, """with u as (select 'by_size' as method, by_size as p, * from t union all select 'by_lang', by_lang, * from t),
+v as (select 'sample' as scope, 1.0 as w, * from u where p is not null union all select 'weighted',
+population * 1.0 / sample, * from u where p is not null), c as (select method, scope, sum(case
+when truth and p = 1 then w else 0 end) as tp, sum(case when not truth and p = 1 then w else 0 end) as fp,
+sum(case when truth and p <> 1 then w else 0 end) as fn, sum(case
+when not truth and p <> 1 then w else 0 end) as tn from v group by method, scope) select method, scope,
+round(tp / nullif(tp + fp, 0), 6) as precision, round(tp / nullif(tp + fn, 0), 6) as recall,
+round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) as f1, round((tp + tn) / nullif(tp + fp + fn + tn, 0),
+6) as accuracy from c""")
 def a11_score_points(t):
     s = measures.score_points(t, ["by_size", "by_lang"], F.col("truth"), "population", "sample")
     return rounded(s.select("method", "scope", "precision", "recall", "f1", "accuracy"), "precision", "recall", "f1", "accuracy")
 
 
-@query("a13_post_stratified", S.POINTS, "with m as (select stratum, avg(by_size) as m, count(*) as n, max(population) as pop from t group by stratum) select round(sum(pop * m) / nullif(sum(pop), 0), 6) as estimate, cast(sum(n) as bigint) as n from m")
+@query("a13_post_stratified", S.POINTS, """with m as (select stratum, avg(by_size) as m, count(*) as n, max(population) as pop from t group by stratum)
+select round(sum(pop * m) / nullif(sum(pop), 0), 6) as estimate, cast(sum(n) as bigint) as n from m""")
 def a13_post_stratified(t):
     pop = t.groupBy("stratum").agg(F.max("population").alias("pop"))
     return rounded(measures.post_stratified(t, "stratum", pop, "by_size"), "estimate")
 
 
-@query("a15_distribution", S.SERIES, "select yr, cast(count(ha) as bigint) as n, round(quantile_cont(ha, 0.1), 6) as p10, round(quantile_cont(ha, 0.25), 6) as p25, round(quantile_cont(ha, 0.5), 6) as p50, round(quantile_cont(ha, 0.75), 6) as p75, round(quantile_cont(ha, 0.9), 6) as p90 from t group by yr")
+@query("a15_distribution", S.SERIES, """select yr, cast(count(ha) as bigint) as n, round(quantile_cont(ha, 0.1), 6) as p10, round(quantile_cont(ha,
+0.25), 6) as p25, round(quantile_cont(ha, 0.5), 6) as p50, round(quantile_cont(ha, 0.75), 6) as p75,
+round(quantile_cont(ha, 0.9), 6) as p90 from t group by yr""")
 def a15_distribution(t):
     return rounded(measures.distribution(t, ["yr"], "ha"), "p10", "p25", "p50", "p75", "p90")
 
 
-@query("a17_overlap", S.PX, f"""select site, round(sum(case when {DRY} and coalesce({NBR} < -0.1, false) and scl <> 8 then 1 else 0 end) * 1.0 / nullif(sum(case when ({DRY} or coalesce({NBR} < -0.1, false)) and scl <> 8 then 1 else 0 end), 0), 6) as iou,
-cast(sum(case when {DRY} and not coalesce({NBR} < -0.1, false) and scl <> 8 then 1 else 0 end) as bigint) as only_a, cast(sum(case when not {DRY} and coalesce({NBR} < -0.1, false) and scl <> 8 then 1 else 0 end) as bigint) as only_b,
-round(sum(case when {DRY} = coalesce({NBR} < -0.1, false) and scl <> 8 then 1 else 0 end) * 1.0 / nullif(sum(case when scl <> 8 then 1 else 0 end), 0), 6) as agreement from t group by site""")
+@query("a17_overlap", S.PX, f"""select site, round(sum(case when {DRY} and coalesce({NBR} < -0.1,
+false) and scl <> 8 then 1 else 0 end) * 1.0 / nullif(sum(case when ({DRY} or coalesce({NBR} < -0.1,
+false)) and scl <> 8 then 1 else 0 end), 0), 6) as iou,
+cast(sum(case when {DRY} and not coalesce({NBR} < -0.1,
+false) and scl <> 8 then 1 else 0 end) as bigint) as only_a, cast(sum(case
+when not {DRY} and coalesce({NBR} < -0.1, false) and scl <> 8 then 1 else 0 end) as bigint) as only_b,
+round(sum(case when {DRY} = coalesce({NBR} < -0.1,
+false) and scl <> 8 then 1 else 0 end) * 1.0 / nullif(sum(case when scl <> 8 then 1 else 0 end), 0),
+6) as agreement from t group by site""")
 def a17_overlap(t):
     return rounded(t.groupBy("site").agg(*measures.overlap(masks.dry_bare(), masks.sure(indices.nbr() < -0.1), F.col("scl") != 8)), "iou", "agreement")
 
 
-@query("a19_calibration", S.PX, "select site, round(regr_slope(swir2, swir1), 5) as a, round(regr_intercept(swir2, swir1), 4) as b, round(corr(swir2, swir1), 5) as r, cast(count(swir1) as bigint) as n, round(sqrt(greatest(regr_syy(swir2, swir1) - regr_sxy(swir2, swir1) * regr_sxy(swir2, swir1) / regr_sxx(swir2, swir1), 0) / count(swir1)), 3) as rmse from t group by site")
+@query("a19_calibration", S.PX, """select site, round(regr_slope(swir2, swir1), 5) as a, round(regr_intercept(swir2, swir1), 4) as b,
+round(corr(swir2, swir1), 5) as r, cast(count(swir1) as bigint) as n, round(sqrt(greatest(regr_syy(swir2,
+swir1) - regr_sxy(swir2, swir1) * regr_sxy(swir2, swir1) / regr_sxx(swir2, swir1), 0) / count(swir1)),
+3) as rmse from t group by site""")
 def a19_calibration(t):
     o = measures.ols(t, ["site"], "swir1", "swir2")
     return o.select("site", F.round("a", 5).alias("a"), F.round("b", 4).alias("b"), F.round("r", 5).alias("r"), "n", F.round("rmse", 3).alias("rmse"))
@@ -235,28 +266,38 @@ def a20_rate(t):
     return rounded(t.groupBy("site").agg(measures.rate("yr", "ha").alias("rate")), "rate", digits=5)
 
 
-@query("a21_pooled", S.SERIES, "select cast(site % 4 as int) as kind, round(quantile_cont(case when n > 1 then ha end, 0.5), 6) as median, cast(count(*) as bigint) as n from t group by grouping sets ((site % 4), ())")
+@query("a21_pooled", S.SERIES, """select cast(site % 4 as int) as kind, round(quantile_cont(case when n > 1 then ha end, 0.5), 6) as median,
+cast(count(*) as bigint) as n from t group by grouping sets ((site % 4), ())""")
 def a21_pooled(t):
     cube = t.withColumn("kind", (F.col("site") % 4).cast("int")).rollup("kind")
     return rounded(cube.agg(F.percentile(F.when(F.col("n") > 1, F.col("ha")), F.lit(0.5)).alias("median"), F.count("*").alias("n")), "median")
 
 
-@query("a22_cohen", S.VOTES, """with p as (select a.doc_id, a.label as a, b.label as b from t as a join t as b on a.doc_id = b.doc_id and a.pass = 1 and b.pass = 3), po as (select avg(case when a = b then 1.0 else 0 end) as po, count(*) as n from p),
-pe as (select sum(x.n * 1.0 * y.n) as s from (select a, count(*) as n from p group by a) as x join (select b, count(*) as n from p group by b) as y on x.a = y.b)
-select cast(n as bigint) as n, round(po, 6) as po, round(s / (n * n), 6) as pe, round((po - s / (n * n)) / nullif(1 - s / (n * n), 0), 6) as kappa from po, pe""")
+@query("a22_cohen", S.VOTES, """with p as (select a.doc_id, a.label as a, b.label as b from t as a
+join t as b on a.doc_id = b.doc_id and a.pass = 1 and b.pass = 3), po as (select avg(case
+when a = b then 1.0 else 0 end) as po, count(*) as n from p),
+pe as (select sum(x.n * 1.0 * y.n) as s from (select a, count(*) as n from p group by a) as x join (select b,
+count(*) as n from p group by b) as y on x.a = y.b)
+select cast(n as bigint) as n, round(po, 6) as po, round(s / (n * n), 6) as pe,
+round((po - s / (n * n)) / nullif(1 - s / (n * n), 0), 6) as kappa from po, pe""")
 def a22_cohen(t):
     p = t.filter("pass = 1").select("doc_id", F.col("label").alias("a")).join(t.filter("pass = 3").select("doc_id", F.col("label").alias("b")), "doc_id")
     return rounded(measures.cohen(p, [], "a", "b"), "po", "pe", "kappa")
 
 
-@query("a23_fleiss", S.VOTES, """with v as (select doc_id, label, count(*) as v from t group by doc_id, label), i as (select doc_id, sum(v) as k, sum(v * v) as vv from v group by doc_id), p as (select avg((vv - k) * 1.0 / (k * (k - 1))) as po from i),
-e as (select sum(s * s) as pe from (select sum(v) * 1.0 / (select sum(v) from v) as s from v group by label)) select round(po, 6) as po, round(pe, 6) as pe, round((po - pe) / (1 - pe), 6) as kappa from p, e""")
+@query("a23_fleiss", S.VOTES, """with v as (select doc_id, label, count(*) as v from t group by doc_id, label), i as (select doc_id,
+sum(v) as k, sum(v * v) as vv from v group by doc_id), p as (select avg((vv - k) * 1.0 / (k * (k - 1))) as po from i),
+e as (select sum(s * s) as pe from (select sum(v) * 1.0 / (select sum(v) from v) as s from v group by label))
+select round(po, 6) as po, round(pe, 6) as pe, round((po - pe) / (1 - pe), 6) as kappa from p, e""")
 def a23_fleiss(t):
     return rounded(measures.fleiss(t, "doc_id", "label"), "po", "pe", "kappa")
 
 
-@query("a24_majority", S.VOTES, """with v as (select doc_id, label, count(*) as v from t where label <> 'unsure' group by doc_id, label), k as (select doc_id, max(v) as v, sum(case when v = m then 1 else 0 end) as top from (select *, max(v) over (partition by doc_id) as m from v) group by doc_id)
-select k.doc_id, case when top > 1 then 'unsure' else (select max(label) from v where v.doc_id = k.doc_id and v.v = k.v) end as label, cast(k.v as bigint) as votes from k""")
+@query("a24_majority", S.VOTES, """with v as (select doc_id, label, count(*) as v from t where label <> 'unsure' group by doc_id, label),
+k as (select doc_id, max(v) as v, sum(case when v = m then 1 else 0 end) as top from (select *,
+max(v) over (partition by doc_id) as m from v) group by doc_id)
+select k.doc_id, case when top > 1 then 'unsure' else (select max(label) from v
+where v.doc_id = k.doc_id and v.v = k.v) end as label, cast(k.v as bigint) as votes from k""")
 def a24_majority(t):
     return measures.majority(t, "doc_id", "label")
 
@@ -276,7 +317,9 @@ def a31_median_composite(t):
     return rounded(t.groupBy("c", "site").agg(F.percentile("nir", F.lit(0.5)).alias("nir")), "nir")
 
 
-@query("a32_headline", S.SERIES, """select site, round(max(ha), 4) as peak_ha, round(avg(ha) / 500 * 100, 5) as mean_pct, cast(sum(case when ha > 100 then 1 else 0 end) as bigint) as years_with, sum(case when top >= 300 then 1 else 0 end) >= 2 as large_working from t group by site""")
+@query("a32_headline", S.SERIES, """select site, round(max(ha), 4) as peak_ha, round(avg(ha) / 500 * 100, 5) as mean_pct, cast(sum(case
+when ha > 100 then 1 else 0 end) as bigint) as years_with, sum(case
+when top >= 300 then 1 else 0 end) >= 2 as large_working from t group by site""")
 def a32_headline(t):
     by = t.groupBy("site").agg(F.max("ha").alias("peak_ha"), (F.avg("ha") / 500 * 100).alias("mean_pct"), F.count_if(F.col("ha") > 100).alias("years_with"), (F.count_if(F.col("top") >= 300) >= 2).alias("large_working"))
     return by.select("site", F.round("peak_ha", 4).alias("peak_ha"), F.round("mean_pct", 5).alias("mean_pct"), "years_with", "large_working")
@@ -288,57 +331,81 @@ def a34_violations(t):
     return v.select("key.site", "key.yr", "rule")
 
 
-@query("w01_clear_scenes", S.SCENES, """with d as (select * from (select *, row_number() over (partition by site, yr, day order by cloud, scene) as dk from t) where dk = 1),
-m as (select *, row_number() over (partition by site, yr, month(day) order by cloud, scene) as mk from d), a as (select *, sum(case when clear >= 0.4 then 1 else 0 end) over (partition by site, yr order by case when mk = 1 then 0 else 1 end, cloud, scene rows unbounded preceding) as n from m)
+@query("w01_clear_scenes", S.SCENES, """with d as (select * from (select *, row_number() over (partition by site, yr, day order by cloud, scene) as dk
+from t) where dk = 1),
+m as (select *, row_number() over (partition by site, yr, month(day) order by cloud, scene) as mk from d),
+a as (select *, sum(case when clear >= 0.4 then 1 else 0 end) over (partition by site, yr order by case
+when mk = 1 then 0 else 1 end, cloud, scene rows unbounded preceding) as n from m)
 select site, yr, scene from a where clear >= 0.4 and n <= 3""")
 def w01_clear_scenes(t):
     return scenes.clear_scenes(t, ["site", "yr"], 3, F.col("clear") >= 0.4).select("site", "yr", "scene")
 
 
-@query("w02_pick_clear", S.SCENES, "select site, yr, scene from (select *, row_number() over (partition by site, yr order by case when clear >= 0.85 then 0 else 1 end, case when clear >= 0.85 then cloud end nulls first, clear desc, scene) as k from t) where k = 1")
+@query("w02_pick_clear", S.SCENES, """select site, yr, scene from (select *, row_number() over (partition by site, yr order by case
+when clear >= 0.85 then 0 else 1 end, case when clear >= 0.85 then cloud end nulls first, clear desc,
+scene) as k from t) where k = 1""")
 def w02_pick_clear(t):
     return scenes.pick_clear(t, ["site", "yr"], 0.85).select("site", "yr", "scene")
 
 
-@query("w03_composite_order", S.SCENES, """with f as (select *, row_number() over (partition by day, tile order by case when month(day) = 6 then 0 else 1 end, abs(date_diff('day', date '1997-06-15', day)), cloud, scene) as k from t)
-select scene, cast(row_number() over (order by case when month(day) = 6 then 0 else 1 end, abs(date_diff('day', date '1997-06-15', day)), cloud, scene) as int) as rank from f where k = 1""")
+@query("w03_composite_order", S.SCENES, """with f as (select *, row_number() over (partition by day, tile order by case
+when month(day) = 6 then 0 else 1 end, abs(date_diff('day', date '1997-06-15', day)), cloud, scene) as k from t)
+select scene, cast(row_number() over (order by case when month(day) = 6 then 0 else 1 end,
+abs(date_diff('day', date '1997-06-15', day)), cloud, scene) as int) as rank from f where k = 1""")
 def w03_composite_order(t):
     return scenes.composite_order(t, 6, "1997-06-15").select("scene", "rank")
 
 
-@query("w05_thinned", S.SCENES, """with recursive g as (select site, min(day) as day from t group by site union all select g.site, min(t.day) as day from g join t on t.site = g.site and t.day >= g.day + 14 group by g.site)
+@query("w05_thinned", S.SCENES, """with recursive g as (select site, min(day) as day from t group by site union all select g.site,
+min(t.day) as day from g join t on t.site = g.site and t.day >= g.day + 14 group by g.site)
 select site, day from g""")
 def w05_thinned(t):
     return scenes.thinned(t, "site", 14)
 
 
-@query("w06_event_sessions", S.EVENTS + " where event_type = 'error'", """with f as (select *, case when date_diff('day', lag(day) over (partition by site order by day, row_id), day) > 3 then 1 else 0 end as new from t), s as (select *, sum(new) over (partition by site order by day, row_id rows unbounded preceding) as session from f)
-select site, cast(session as bigint) as session, min(day) as first, max(day) as last, cast(count(*) as bigint) as n, cast(count(distinct day) as bigint) as days, round(sum(value), 4) as total from s group by site, session""")
+@query("w06_event_sessions", S.EVENTS + " where event_type = 'error'", """with f as (select *, case when date_diff('day', lag(day) over (partition by site order by day, row_id),
+day) > 3 then 1 else 0 end as new from t), s as (select *, sum(new) over (partition by site order by day,
+row_id rows unbounded preceding) as session from f)
+select site, cast(session as bigint) as session, min(day) as first, max(day) as last,
+cast(count(*) as bigint) as n, cast(count(distinct day) as bigint) as days, round(sum(value), 4) as total
+from s group by site, session""")
 def w06_event_sessions(t):
     s = events.session_summary(t, "site", "day", "value", "kind")
     return rounded(s.select("site", "session", "first", "last", "n", "days", "total"), "total", digits=4)
 
 
-@query("w07_first_of_key", S.EVENTS, "select row_id from (select *, row_number() over (partition by kind, day, round_even(value / 100, 3), round_even(value / 70, 3) order by row_id) as k from t) where k = 1")
+@query("w07_first_of_key", S.EVENTS, """select row_id from (select *, row_number() over (partition by kind, day, round_even(value / 100, 3),
+round_even(value / 70, 3) order by row_id) as k from t) where k = 1""")
 def w07_first_of_key(t):
     return events.without_repeats(t.withColumns({"lat": F.col("value") / 100, "lon": F.col("value") / 70}), ["kind", "day"], "row_id").select("row_id")
 
 
-@query("w08_transitions", S.EVENTS, """with w as (select *, lag(value, 1) over x as l1, lag(value, 2) over x as l2, lead(value, 1) over x as n1, lag(ts, 1) over x as before from t window x as (partition by site order by ts)),
-h as (select * from w where l1 >= 20 and l2 >= 20 and value < 50 and n1 < 50), k as (select *, row_number() over (partition by site order by ts, before) as k from h) select site, before, ts as after from k where k = 1""")
+@query("w08_transitions", S.EVENTS, """with w as (select *, lag(value, 1) over x as l1, lag(value, 2) over x as l2, lead(value, 1) over x as n1,
+lag(ts, 1) over x as before from t window x as (partition by site order by ts)),
+h as (select * from w where l1 >= 20 and l2 >= 20 and value < 50 and n1 < 50), k as (select *,
+row_number() over (partition by site order by ts, before) as k from h) select site, before, ts as after from k
+where k = 1""")
 def w08_transitions(t):
     return events.transitions(t.withColumn("green", F.col("value") >= 20).withColumn("bare", F.col("value") < 50), ["site"], "ts", "green", "bare")
 
 
-@query("w09_off_after_on", S.EVENTS, """with w as (select *, value > 60 as lit, last_value(case when value > 60 then ts end ignore nulls) over (partition by site order by ts rows between unbounded preceding and 1 preceding) as last_on,
-first_value(case when value > 60 then ts end ignore nulls) over (partition by site order by ts rows between 1 following and unbounded following) as back_on from t) select row_id, last_on, back_on from w where not lit and last_on is not null""")
+@query("w09_off_after_on", S.EVENTS, """with w as (select *, value > 60 as lit, last_value(case
+when value > 60 then ts end ignore nulls) over (partition by site order by ts rows between unbounded preceding and 1 preceding) as last_on,
+first_value(case when value > 60 then ts end ignore nulls) over (partition by site
+order by ts rows between 1 following and unbounded following) as back_on from t) select row_id, last_on,
+back_on from w where not lit and last_on is not null""")
 def w09_off_after_on(t):
     return events.off_after_on(t.withColumn("lit", F.col("value") > 60), "site", "ts", "lit").select("row_id", "last_on", "back_on")
 
 
-@query("w10_mann_kendall", S.SERIES, """with p as (select a.site, sum(sign(b.ha - a.ha)) as s from t as a join t as b on a.site = b.site and a.yr < b.yr group by a.site), n as (select site, count(*) as n from t group by site), e as (select site, sum(k * (k - 1) * (2 * k + 5)) as e from (select site, ha, count(*) as k from t group by site, ha) group by site),
-v as (select site, cast(n as bigint) as n, cast(s as bigint) as S, (n * (n - 1) * (2 * n + 5) - e) / 18.0 as var from p join n using (site) join e using (site) where n >= 4)
-select site, n, S, round(var, 6) as var, round(case when S > 0 then (S - 1) / nullif(sqrt(var), 0) when S < 0 then (S + 1) / nullif(sqrt(var), 0) else 0 end, 6) as z from v""")
+@query("w10_mann_kendall", S.SERIES, """with p as (select a.site, sum(sign(b.ha - a.ha)) as s from t as a
+join t as b on a.site = b.site and a.yr < b.yr group by a.site), n as (select site, count(*) as n from t
+group by site), e as (select site, sum(k * (k - 1) * (2 * k + 5)) as e from (select site, ha, count(*) as k
+from t group by site, ha) group by site),
+v as (select site, cast(n as bigint) as n, cast(s as bigint) as S,
+(n * (n - 1) * (2 * n + 5) - e) / 18.0 as var from p join n using (site) join e using (site) where n >= 4)
+select site, n, S, round(var, 6) as var, round(case when S > 0 then (S - 1) / nullif(sqrt(var), 0)
+when S < 0 then (S + 1) / nullif(sqrt(var), 0) else 0 end, 6) as z from v""")
 def w10_mann_kendall(t):
     return rounded(ranks.mann_kendall(t, "site", "yr", "ha"), "var", "z")
 
@@ -348,8 +415,11 @@ def w10_mann_kendall_p(t):
     return rounded(ranks.mann_kendall(t, "site", "yr", "ha").withColumn("p", ranks.two_sided_normal("z")).select("site", "z", "p"), "z", "p")
 
 
-@query("w11_spearman", S.SERIES, """with r as (select *, rank() over (partition by yr order by ha) + (count(*) over (partition by yr, ha) - 1) / 2.0 as x, rank() over (partition by yr order by top) + (count(*) over (partition by yr, top) - 1) / 2.0 as y from t)
-select yr, round(case when count(*) >= 4 then corr(x, y) end, 5) as rho, cast(count(*) as bigint) as n from r group by yr""")
+@query("w11_spearman", S.SERIES, """with r as (select *, rank() over (partition by yr order by ha) + (count(*) over (partition by yr,
+ha) - 1) / 2.0 as x, rank() over (partition by yr order by top) + (count(*) over (partition by yr,
+top) - 1) / 2.0 as y from t)
+select yr, round(case when count(*) >= 4 then corr(x, y) end, 5) as rho, cast(count(*) as bigint) as n from r
+group by yr""")
 def w11_spearman(t):
     return rounded(ranks.spearman(t, ["yr"], "ha", "top"), "rho", digits=5)
 
@@ -360,19 +430,29 @@ def w11_spearman_p(t):
     return rounded(s.withColumn("p", ranks.spearman_p(F.col("rho"), F.col("n"))), "rho", "p")
 
 
-@query("w12_mann_whitney", S.SERIES, """with r as (select *, site % 3 = 0 as g, rank() over (partition by yr order by ha) + (count(*) over (partition by yr, ha) - 1) / 2.0 as k from t), s as (select yr, sum(case when g then 1 else 0 end) as n1, sum(case when g then 0 else 1 end) as n2, sum(case when g then k end) as s from r group by yr)
-select yr, cast(n1 as bigint) as n1, cast(n2 as bigint) as n2, round(s - n1 * (n1 + 1) / 2.0, 6) as u, round((s - n1 * (n1 + 1) / 2.0) / nullif(n1 * n2, 0), 6) as auc from s""")
+@query("w12_mann_whitney", S.SERIES, """with r as (select *, site % 3 = 0 as g, rank() over (partition by yr
+order by ha) + (count(*) over (partition by yr, ha) - 1) / 2.0 as k from t), s as (select yr, sum(case
+when g then 1 else 0 end) as n1, sum(case when g then 0 else 1 end) as n2, sum(case when g then k end) as s
+from r group by yr)
+select yr, cast(n1 as bigint) as n1, cast(n2 as bigint) as n2, round(s - n1 * (n1 + 1) / 2.0, 6) as u,
+round((s - n1 * (n1 + 1) / 2.0) / nullif(n1 * n2, 0), 6) as auc from s""")
 def w12_mann_whitney(t):
     return rounded(ranks.mann_whitney(t, ["yr"], F.col("site") % 3 == 0, "ha").drop("z"), "u", "auc")
 
 
-@query("w13_first_fit", "select cast(o_custkey % 50 as int) as site, o_orderkey as ord, o_totalprice as amount from {orders}", """with recursive o as (select *, row_number() over (partition by site order by ord) as k from t), g as (select site, k, ord, amount <= 100000 as kept, case when amount <= 100000 then amount else 0 end as used from o where k = 1
-union all select o.site, o.k, o.ord, g.used + o.amount <= 100000, case when g.used + o.amount <= 100000 then g.used + o.amount else g.used end from g join o on o.site = g.site and o.k = g.k + 1) select site, ord from g where kept""")
+@query("w13_first_fit", "select cast(o_custkey % 50 as int) as site, o_orderkey as ord, o_totalprice as amount from {orders}", """with recursive o as (select *, row_number() over (partition by site order by ord) as k from t),
+g as (select site, k, ord, amount <= 100000 as kept, case when amount <= 100000 then amount else 0 end as used
+from o where k = 1
+union all select o.site, o.k, o.ord, g.used + o.amount <= 100000, case
+when g.used + o.amount <= 100000 then g.used + o.amount else g.used end from g
+join o on o.site = g.site and o.k = g.k + 1) select site, ord from g where kept""")
 def w13_first_fit(t):
     return scenes.first_fit(t, "site", 100_000.0)
 
 
-@query("w14_densest", S.mask(100), """with g as (select a.r, a.c, sum(case when b.m then 1 else 0 end) as hits from t as a join t as b on b.r between a.r and a.r + 3 and b.c between a.c and a.c + 3 where a.r + 3 <= (select max(r) from t) and a.c + 3 <= (select max(c) from t) group by a.r, a.c)
+@query("w14_densest", S.mask(100), """with g as (select a.r, a.c, sum(case when b.m then 1 else 0 end) as hits from t as a
+join t as b on b.r between a.r and a.r + 3 and b.c between a.c and a.c + 3 where a.r + 3 <= (select max(r)
+from t) and a.c + 3 <= (select max(c) from t) group by a.r, a.c)
 select r, c, cast(hits as bigint) as hits from g order by hits desc, r, c limit 1""")
 def w14_densest(t):
     return raster.densest(t, "m", 4, 4)
@@ -388,7 +468,9 @@ def l01_least_cloud(t):
     return scenes.least_cloud(t, 20, 5).select("scene", "cloud")
 
 
-@query("l05_quantile_picks", S.SERIES, "with o as (select *, row_number() over (order by ha, site, yr) as k, count(*) over () as every from t) select site, yr, ha from o where k in (floor(every * cast(0.35 as double)) + 1, floor(every * cast(0.92 as double)) + 1)")
+@query("l05_quantile_picks", S.SERIES, """with o as (select *, row_number() over (order by ha, site, yr) as k, count(*) over () as every from t)
+select site, yr, ha from o where k in (floor(every * cast(0.35 as double)) + 1,
+floor(every * cast(0.92 as double)) + 1)""")
 def l05_quantile_picks(t):
     every = t.agg(F.count("*").alias("every"))
     at = [(F.floor(F.col("every") * F.lit(q)) + 1) for q in (0.35, 0.92)]
@@ -396,7 +478,9 @@ def l05_quantile_picks(t):
     return ranked.crossJoin(F.broadcast(every)).filter(F.col("k").isin(*at)).select("site", "yr", "ha")
 
 
-@query("u04_set_operations", S.PX, f"select 'union' as kind, cast(sum(case when {DRY} or {WET} then 1 else 0 end) as bigint) as cells from t union all select 'both', cast(sum(case when {DRY} and scl < 6 then 1 else 0 end) as bigint) from t union all select 'only', cast(sum(case when {DRY} and not scl < 6 then 1 else 0 end) as bigint) from t")
+@query("u04_set_operations", S.PX, f"""select 'union' as kind, cast(sum(case when {DRY} or {WET} then 1 else 0 end) as bigint) as cells from t
+union all select 'both', cast(sum(case when {DRY} and scl < 6 then 1 else 0 end) as bigint) from t union all
+select 'only', cast(sum(case when {DRY} and not scl < 6 then 1 else 0 end) as bigint) from t""")
 def u04_set_operations(t):
     dry, wet, low = (t.filter(m).select("id") for m in (masks.dry_bare(), masks.wet_bare(), F.col("scl") < 6))
     parts = {"union": dry.union(wet).distinct(), "both": dry.intersect(low), "only": dry.exceptAll(low)}
@@ -408,20 +492,25 @@ def u04_set_operations(t):
 
 
 @query("v01_polygon_mask", "select o_orderkey as pid, cast(o_orderkey % 100 as double) + 0.5 as x, cast(floor(o_orderkey / 100.0) as double) + 0.5 as y from {orders}",
-       """with e as (select * from (values (10.0, 2.0, 60.0, 8.0), (60.0, 8.0, 40.0, 30.0), (40.0, 30.0, 10.0, 2.0)) as v(ax, ay, bx, by_)) select pid, 1 as poly from t cross join e where (ay > y) <> (by_ > y) and x < (bx - ax) * (y - ay) / (by_ - ay) + ax group by pid having count(*) % 2 = 1""")
+       """with e as (select * from (values (10.0, 2.0, 60.0, 8.0), (60.0, 8.0, 40.0, 30.0), (40.0, 30.0, 10.0,
+2.0)) as v(ax, ay, bx, by_)) select pid, 1 as poly from t cross join e
+where (ay > y) <> (by_ > y) and x < (bx - ax) * (y - ay) / (by_ - ay) + ax group by pid
+having count(*) % 2 = 1""")
 def v01_polygon_mask(t):
     ring = [(10.0, 2.0, 60.0, 8.0), (60.0, 8.0, 40.0, 30.0), (40.0, 30.0, 10.0, 2.0)]
     e = t.sparkSession.createDataFrame([(1, *x) for x in ring], "poly int, ax double, ay double, bx double, `by` double")
     return raster.inside_polygon(t, e)
 
 
-@query("v07_distance", "select event_id as id, cast(event_id % 100 as double) as x, value as y from {events}", """with d as (select id, x, y, least(greatest(((x - 10) * 50 + (y - 2) * 6) / (50 * 50 + 6 * 6), 0), 1) as u from t) select id, round(sqrt(power(x - (10 + u * 50), 2) + power(y - (2 + u * 6), 2)), 6) as d from d""")
+@query("v07_distance", "select event_id as id, cast(event_id % 100 as double) as x, value as y from {events}", """with d as (select id, x, y, least(greatest(((x - 10) * 50 + (y - 2) * 6) / (50 * 50 + 6 * 6), 0), 1) as u
+from t) select id, round(sqrt(power(x - (10 + u * 50), 2) + power(y - (2 + u * 6), 2)), 6) as d from d""")
 def v07_distance(t):
     d = geodesy.segment_distance(F.col("x"), F.col("y"), F.lit(10.0), F.lit(2.0), F.lit(60.0), F.lit(8.0))
     return t.select("id", F.round(d, 6).alias("d"))
 
 
-@query("p09_projection", "select event_id as id, -10 + cast(event_id % 100 as double) / 25 as lon, 51.5 + cast(floor(event_id / 100.0) as double) % 35 / 10 as lat from {events}", "select id, true as back from t")
+@query("p09_projection", """select event_id as id, -10 + cast(event_id % 100 as double) / 25 as lon,
+51.5 + cast(floor(event_id / 100.0) as double) % 35 / 10 as lat from {events}""", "select id, true as back from t")
 def p09_projection(t):
     """Forward and back: within a hundred-millionth of a degree."""
     e, n = geodesy.project(F.col("lon"), F.col("lat"))
@@ -429,12 +518,14 @@ def p09_projection(t):
     return t.select("id", ((F.abs(lon - F.col("lon")) < 1e-8) & (F.abs(lat - F.col("lat")) < 1e-8)).alias("back"))
 
 
-@query("r01_dilate_square", S.mask(200), "select a.r, a.c, bool_or(b.m) as dilated from t as a join t as b on b.r between a.r - 2 and a.r + 2 and b.c between a.c - 2 and a.c + 2 group by a.r, a.c")
+@query("r01_dilate_square", S.mask(200), """select a.r, a.c, bool_or(b.m) as dilated from t as a
+join t as b on b.r between a.r - 2 and a.r + 2 and b.c between a.c - 2 and a.c + 2 group by a.r, a.c""")
 def r01_dilate_square(t):
     return raster.dilate_square(t, [], "m", 2).select("r", "c", "dilated")
 
 
-@query("r02_dilate_cross", S.mask(200), "select a.r, a.c, bool_or(b.m) as near from t as a join t as b on abs(b.r - a.r) + abs(b.c - a.c) <= 2 and b.r between a.r - 2 and a.r + 2 group by a.r, a.c")
+@query("r02_dilate_cross", S.mask(200), """select a.r, a.c, bool_or(b.m) as near from t as a
+join t as b on abs(b.r - a.r) + abs(b.c - a.c) <= 2 and b.r between a.r - 2 and a.r + 2 group by a.r, a.c""")
 def r02_dilate_cross(t):
     return raster.near(t, [], "m", raster.diamond(2)).select("r", "c", "near")
 
@@ -444,83 +535,120 @@ def r03_shift(t):
     return raster.shifted(t, [], "value", 1, -2).select("r", "c", "moved")
 
 
-@query("r04_shadows", S.mask(200), """with o as (select distinct * from (values (-4, -4), (-2, -2)) as v(dr, dc)), h as (select distinct a.r + dr as r, a.c + dc as c from t as a cross join o where a.m) select t.r, t.c, h.r is not null and t.value < 30 and not t.m as shadow from t left join h on t.r = h.r and t.c = h.c""")
+@query("r04_shadows", S.mask(200), """with o as (select distinct * from (values (-4, -4), (-2, -2)) as v(dr, dc)),
+h as (select distinct a.r + dr as r, a.c + dc as c from t as a cross join o where a.m) select t.r, t.c,
+h.r is not null and t.value < 30 and not t.m as shadow from t left join h on t.r = h.r and t.c = h.c""")
 def r04_shadows(t):
     # at 45 degrees of zenith a cloud's shadow is as far as the cloud is high; the sun stands in the south-east
     return raster.shadows(t, [], "m", 135.0, 45.0, [28.28, 56.57], F.col("value") < 30).select("r", "c", "shadow")
 
 
-@query("r05_interior", S.mask(20), """select t.r, t.c, t.m and coalesce(a.m, false) and coalesce(b.m, false) and coalesce(l.m, false) and coalesce(q.m, false) as interior from t
-left join t as a on a.r = t.r - 1 and a.c = t.c left join t as b on b.r = t.r + 1 and b.c = t.c left join t as l on l.r = t.r and l.c = t.c - 1 left join t as q on q.r = t.r and q.c = t.c + 1""")
+@query("r05_interior", S.mask(20), """select t.r, t.c, t.m and coalesce(a.m, false) and coalesce(b.m, false) and coalesce(l.m,
+false) and coalesce(q.m, false) as interior from t
+left join t as a on a.r = t.r - 1 and a.c = t.c left join t as b on b.r = t.r + 1 and b.c = t.c left
+join t as l on l.r = t.r and l.c = t.c - 1 left join t as q on q.r = t.r and q.c = t.c + 1""")
 def r05_interior(t):
     return raster.interior(t, [], "m").select("r", "c", "interior")
 
 
-@query("r06_edges", S.mask(50), "select t.r, t.c, coalesce(a.m <> t.m, false) or coalesce(b.m <> t.m, false) as edge from t left join t as a on a.r = t.r and a.c = t.c + 1 left join t as b on b.r = t.r + 1 and b.c = t.c")
+@query("r06_edges", S.mask(50), """select t.r, t.c, coalesce(a.m <> t.m, false) or coalesce(b.m <> t.m, false) as edge from t left
+join t as a on a.r = t.r and a.c = t.c + 1 left join t as b on b.r = t.r + 1 and b.c = t.c""")
 def r06_edges(t):
     return raster.edges(t, [], "m").select("r", "c", "edge")
 
 
-@query("r07_patches", S.mask(50), """with recursive n as (select a.tile, a.r, a.c, a.r * 1000000 + a.c as k from t as a where a.m), g as (select k, k as root, tile, r, c from n union select n.k, g.root, n.tile, n.r, n.c from g join n on n.tile = g.tile and abs(n.r - g.r) <= 1 and abs(n.c - g.c) <= 1 where n.k > g.root),
-l as (select k, tile, min(root) as patch from g group by k, tile) select tile, cast(patch as bigint) as patch, cast(floor(k / 1000000.0) as int) as r, cast(k % 1000000 as int) as c from l""")
+@query("r07_patches", S.mask(50), """with recursive n as (select a.tile, a.r, a.c, a.r * 1000000 + a.c as k from t as a where a.m), g as (select k,
+k as root, tile, r, c from n union select n.k, g.root, n.tile, n.r, n.c from g
+join n on n.tile = g.tile and abs(n.r - g.r) <= 1 and abs(n.c - g.c) <= 1 where n.k > g.root),
+l as (select k, tile, min(root) as patch from g group by k, tile) select tile, cast(patch as bigint) as patch,
+cast(floor(k / 1000000.0) as int) as r, cast(k % 1000000 as int) as c from l""")
 def r07_patches(t):
     return raster.labelled(t, ["tile"], "m").select("tile", "patch", "r", "c")
 
 
-@query("r07_patch_sizes", S.mask(40), """with recursive n as (select a.tile, a.r, a.c, a.r * 1000000 + a.c as k from t as a where a.m), g as (select k, k as root, tile, r, c from n union select n.k, g.root, n.tile, n.r, n.c from g join n on n.tile = g.tile and abs(n.r - g.r) <= 1 and abs(n.c - g.c) <= 1 where n.k > g.root),
-l as (select k, tile, min(root) as patch from g group by k, tile), z as (select patch, tile, count(*) as cells from l group by patch, tile)
-select cast(case when cells >= 100 then 5 when cells >= 50 then 4 when cells >= 10 then 3 when cells >= 5 then 2 when cells >= 1 then 1 else 0 end as int) as bin, cast(count(*) as bigint) as n from z group by 1""")
+@query("r07_patch_sizes", S.mask(40), """with recursive n as (select a.tile, a.r, a.c, a.r * 1000000 + a.c as k from t as a where a.m), g as (select k,
+k as root, tile, r, c from n union select n.k, g.root, n.tile, n.r, n.c from g
+join n on n.tile = g.tile and abs(n.r - g.r) <= 1 and abs(n.c - g.c) <= 1 where n.k > g.root),
+l as (select k, tile, min(root) as patch from g group by k, tile), z as (select patch, tile, count(*) as cells
+from l group by patch, tile)
+select cast(case when cells >= 100 then 5 when cells >= 50 then 4 when cells >= 10 then 3
+when cells >= 5 then 2 when cells >= 1 then 1 else 0 end as int) as bin, cast(count(*) as bigint) as n from z
+group by 1""")
 def r07_patch_sizes(t):
     sizes = raster.patch_sizes(raster.labelled(t, ["tile"], "m"), ["tile"])
     return measures.histogram(sizes.withColumn("ha", F.col("cells") * 0.01), "ha", [0, 0.01, 0.05, 0.1, 0.5, 1])
 
 
-@query("r08_near_disk", S.mask(200), "select a.r, a.c, bool_or(b.m) as near from t as a join t as b on b.r between a.r - 3 and a.r + 3 and b.c between a.c - 3 and a.c + 3 and (b.r - a.r) * (b.r - a.r) + (b.c - a.c) * (b.c - a.c) <= 9 group by a.r, a.c")
+@query("r08_near_disk", S.mask(200), """select a.r, a.c, bool_or(b.m) as near from t as a
+join t as b on b.r between a.r - 3 and a.r + 3 and b.c between a.c - 3 and a.c + 3 and (b.r - a.r) * (b.r - a.r) + (b.c - a.c) * (b.c - a.c) <= 9
+group by a.r, a.c""")
 def r08_near_disk(t):
     return raster.near(t, [], "m", raster.disk(3)).select("r", "c", "near")
 
 
-@query("r09_opening", S.mask(12), """with e as (select a.r, a.c from t as a join t as b on abs(b.r - a.r) + abs(b.c - a.c) <= 1 and b.r between a.r - 1 and a.r + 1 where b.m group by a.r, a.c having count(*) = 5)
-select t.r, t.c, t.m and count(e.r) > 0 as opened from t left join e on abs(e.r - t.r) + abs(e.c - t.c) <= 1 and e.r between t.r - 1 and t.r + 1 group by t.r, t.c, t.m""")
+@query("r09_opening", S.mask(12), """with e as (select a.r, a.c from t as a
+join t as b on abs(b.r - a.r) + abs(b.c - a.c) <= 1 and b.r between a.r - 1 and a.r + 1 where b.m
+group by a.r, a.c having count(*) = 5)
+select t.r, t.c, t.m and count(e.r) > 0 as opened from t left
+join e on abs(e.r - t.r) + abs(e.c - t.c) <= 1 and e.r between t.r - 1 and t.r + 1 group by t.r, t.c, t.m""")
 def r09_opening(t):
     return raster.opened(t, [], "m", raster.disk(1)).select("r", "c", "opened")
 
 
-@query("r11_bilinear", S.PX, """with p as (select o_orderkey as pid, 3 + cast(o_orderkey % 7 as double) / 3 as y, 5 + cast(o_orderkey % 80 as double) / 1.7 as x from orders where o_orderkey < 400), q as (select pid, y, x, r, c, nir, (1 - abs(y - r)) * (1 - abs(x - c)) as w from p join t on r between floor(y) and floor(y) + 1 and c between floor(x) and floor(x) + 1 where nir is not null)
-select pid, round(sum(w * nir) / nullif(sum(w), 0), 5) as value from q group by pid""", points="select o_orderkey as pid, 3 + cast(o_orderkey % 7 as double) / 3 as y, 5 + cast(o_orderkey % 80 as double) / 1.7 as x from {orders} where o_orderkey < 400")
+@query("r11_bilinear", S.PX, """with p as (select o_orderkey as pid, 3 + cast(o_orderkey % 7 as double) / 3 as y,
+5 + cast(o_orderkey % 80 as double) / 1.7 as x from orders where o_orderkey < 400), q as (select pid, y, x, r,
+c, nir, (1 - abs(y - r)) * (1 - abs(x - c)) as w from p
+join t on r between floor(y) and floor(y) + 1 and c between floor(x) and floor(x) + 1 where nir is not null)
+select pid, round(sum(w * nir) / nullif(sum(w), 0), 5) as value from q group by pid""", points="""select o_orderkey as pid, 3 + cast(o_orderkey % 7 as double) / 3 as y,
+5 + cast(o_orderkey % 80 as double) / 1.7 as x from {orders} where o_orderkey < 400""")
 def r11_bilinear(t, points):
     return rounded(raster.bilinear(t, points, "nir"), "value", digits=5)
 
 
-@query("r13_regrid", S.mask(50), """with a as (select r * 3.0 as y0, r * 3.0 + 3 as y1, c * 3.0 as x0, c * 3.0 + 3 as x1, case when value < 2 then null when m then 1.0 else 0.0 end as v from t),
-g as (select R, C, v, (least(y1, (R + 1) * 10) - greatest(y0, R * 10)) * (least(x1, (C + 1) * 10) - greatest(x0, C * 10)) as w from a join (select unnest(range(0, 31)) as C) as cc on x0 < (C + 1) * 10 and x1 > C * 10 join (select unnest(range(0, 400)) as R) as rr on y0 < (R + 1) * 10 and y1 > R * 10)
-select cast(R as int) as R_, cast(C as int) as C_, round(sum(case when v is not null then w * v end) / nullif(sum(case when v is not null then w end), 0), 6) as mean, round(coalesce(sum(case when v is not null then w end), 0) / 100, 6) as coverage from g group by R, C""")
+@query("r13_regrid", S.mask(50), """with a as (select r * 3.0 as y0, r * 3.0 + 3 as y1, c * 3.0 as x0, c * 3.0 + 3 as x1, case
+when value < 2 then null when m then 1.0 else 0.0 end as v from t),
+g as (select R, C, v, (least(y1, (R + 1) * 10) - greatest(y0, R * 10)) * (least(x1,
+(C + 1) * 10) - greatest(x0, C * 10)) as w from a join (select unnest(range(0,
+31)) as C) as cc on x0 < (C + 1) * 10 and x1 > C * 10 join (select unnest(range(0, 400)) as R) as rr on y0 < (R + 1) * 10 and y1 > R * 10)
+select cast(R as int) as R_, cast(C as int) as C_, round(sum(case
+when v is not null then w * v end) / nullif(sum(case when v is not null then w end), 0), 6) as mean,
+round(coalesce(sum(case when v is not null then w end), 0) / 100, 6) as coverage from g group by R, C""")
 def r13_regrid(t):
     v = t.withColumn("v", F.when(F.col("value") >= 2, F.col("m").cast("double")))
     g = raster.regrid(v, [], "v", 3.0, 10.0)
     return rounded(g.select(F.col("R").alias("R_"), F.col("C").alias("C_"), "mean", "coverage"), "mean", "coverage")
 
 
-@query("r16_upsampled", S.mask(50), "select t.r * 3 + i as r, t.c * 3 + j as c, m from t cross join (select cast(unnest(range(0, 3)) as int) as i) as a cross join (select cast(unnest(range(0, 3)) as int) as j) as b")
+@query("r16_upsampled", S.mask(50), """select t.r * 3 + i as r, t.c * 3 + j as c, m from t cross join (select cast(unnest(range(0,
+3)) as int) as i) as a cross join (select cast(unnest(range(0, 3)) as int) as j) as b""")
 def r16_upsampled(t):
     return raster.upsampled(t).select("r", "c", "m")
 
 
-@query("r17_chip", S.mask(50), "with f as (select cast(i - 2 as int) as r, cast(j + 3 as int) as c from (select unnest(range(0, 5)) as i) as a cross join (select unnest(range(0, 5)) as j) as b) select f.r, f.c, t.value from f left join t on t.r = f.r and t.c = f.c")
+@query("r17_chip", S.mask(50), """with f as (select cast(i - 2 as int) as r, cast(j + 3 as int) as c from (select unnest(range(0, 5)) as i) as a
+cross join (select unnest(range(0, 5)) as j) as b) select f.r, f.c, t.value from f left
+join t on t.r = f.r and t.c = f.c""")
 def r17_chip(t):
     return raster.chip(t, 0, 5, 2).select("r", "c", "value")
 
 
 @query("r19_change", S.PX, f"""select a.id as id, cast(case when a.scl = 8 or b.scl = 8 then 4 when {DRY.replace("nir", "a.nir").replace("swir", "a.swir").replace("green", "a.green")} and {DRY.replace("nir", "b.nir").replace("swir", "b.swir").replace("green", "b.green")} then 1
-when {DRY.replace("nir", "b.nir").replace("swir", "b.swir").replace("green", "b.green")} then 2 when {DRY.replace("nir", "a.nir").replace("swir", "a.swir").replace("green", "a.green")} then 3 else 0 end as tinyint) as class from t as a join t as b on b.id = a.id + 1""")
+when {DRY.replace("nir", "b.nir").replace("swir", "b.swir").replace("green", "b.green")} then 2
+when {DRY.replace("nir", "a.nir").replace("swir", "a.swir").replace("green", "a.green")} then 3 else 0 end as tinyint) as class
+from t as a join t as b on b.id = a.id + 1""")
 def r19_change(t):
     m = t.select("id", masks.dry_bare().alias("m"), "scl")
     after = m.select((F.col("id") - 1).alias("id"), F.col("m").alias("n"), F.col("scl").alias("scl2"))
     return m.join(after, "id").select("id", masks.change_class(F.col("m"), F.col("n"), (F.col("scl") != 8) & (F.col("scl2") != 8)).alias("class"))
 
 
-@query("t08_weather", "select event_id as event, cast(ts as date) as day from {events}", """with w as (select t.event, i, d.rain from t cross join (select unnest(range(1, 31)) as i) as k left join other as d on d.day = t.day - cast(i as int)), g as (select event, count(rain) as known, sum(rain) as total, min(case when rain >= 1 then i end) as wet, min(case when rain is null then i end) as gap from w group by event)
-select event, cast(known as bigint) as known, round(case when known = 30 then total end, 6) as total, case when wet is null and gap is null then '>=30' else cast(least(coalesce(wet, 99), coalesce(gap, 99)) - 1 as varchar) end as dry_spell from g""", other=S.DAILY)
+@query("t08_weather", "select event_id as event, cast(ts as date) as day from {events}", """with w as (select t.event, i, d.rain from t cross join (select unnest(range(1, 31)) as i) as k left
+join other as d on d.day = t.day - cast(i as int)), g as (select event, count(rain) as known,
+sum(rain) as total, min(case when rain >= 1 then i end) as wet, min(case when rain is null then i end) as gap
+from w group by event)
+select event, cast(known as bigint) as known, round(case when known = 30 then total end, 6) as total, case
+when wet is null and gap is null then '>=30' else cast(least(coalesce(wet, 99), coalesce(gap,
+99)) - 1 as varchar) end as dry_spell from g""", other=S.DAILY)
 def t08_weather(t, other):
     return rounded(events.weather_summary(t, other), "total")
 
@@ -552,14 +680,17 @@ def m05_kmeans(t):
     return cluster.bare_cluster(got.withColumn("ndvi", indices.ndvi()), ["site"], "cluster", "ndvi")
 
 
-@query("j16_nearest_prototype", "select vec_id as id, label, 0 as g, embedding as f from {embeddings}", """with p as (select id as node, f as w from t where id < 8), d as (select t.id, node, sum((a - b) * (a - b)) as d from (select t.id, node, unnest(t.f)::double as a, unnest(w)::double as b from t cross join p) as t group by t.id, node)
+@query("j16_nearest_prototype", "select vec_id as id, label, 0 as g, embedding as f from {embeddings}", """with p as (select id as node, f as w from t where id < 8), d as (select t.id, node,
+sum((a - b) * (a - b)) as d from (select t.id, node, unnest(t.f)::double as a, unnest(w)::double as b from t
+cross join p) as t group by t.id, node)
 select id, cast(arg_min(node, d) as bigint) as node from d group by id""")
 def j16_nearest_prototype(t):
     p = t.filter("id < 8").select("g", F.col("id").alias("node"), F.col("f").cast("array<double>").alias("w"))
     return cluster.nearest_node(t.withColumn("f", F.col("f").cast("array<double>")), p, ["g"], "f").select("id", "node")
 
 
-@query("a36_named_nodes", "select vec_id as id, cast(label as bigint) as node, case when vec_id % 3 > 0 then vec_id % 7 < 4 end as lab, 0 as g from {embeddings}", "select node, round(avg(case when lab then 1.0 else 0 end), 6) as share, cast(count(*) as bigint) as n, avg(case when lab then 1.0 else 0 end) > 0.5 as named from t where lab is not null group by node")
+@query("a36_named_nodes", "select vec_id as id, cast(label as bigint) as node, case when vec_id % 3 > 0 then vec_id % 7 < 4 end as lab, 0 as g from {embeddings}", """select node, round(avg(case when lab then 1.0 else 0 end), 6) as share, cast(count(*) as bigint) as n,
+avg(case when lab then 1.0 else 0 end) > 0.5 as named from t where lab is not null group by node""")
 def a36_named_nodes(t):
     return rounded(cluster.named_nodes(t, ["g"], "node", "lab").drop("g"), "share")
 
@@ -574,14 +705,17 @@ def m14_mean_interval(t):
     return resampling.mean_interval(t.select("yr", "ha", "site"), ["yr"], "ha", "site")
 
 
-@query("q01_ranked_sites", S.SERIES, "select site, round(max(ha), 4) as peak, round(max(ha) / (select max(ha) from t where site % 2 = 0), 6) as bar from t where site % 2 = 0 group by site order by peak desc, site limit 14")
+@query("q01_ranked_sites", S.SERIES, """select site, round(max(ha), 4) as peak, round(max(ha) / (select max(ha) from t where site % 2 = 0), 6) as bar
+from t where site % 2 = 0 group by site order by peak desc, site limit 14""")
 def q01_ranked_sites(t):
     by = t.filter("site % 2 = 0").groupBy("site").agg(F.max("ha").alias("peak"))
     top = by.agg(F.max("peak").alias("_m"))
     return by.crossJoin(F.broadcast(top)).select("site", F.round("peak", 4).alias("peak"), F.round(F.col("peak") / F.col("_m"), 6).alias("bar")).orderBy(F.desc("peak"), "site").limit(14)
 
 
-@query("k01_features", S.SERIES, """select site, '{"type":"Feature","geometry":{"x":' || site || '},"properties":{"site":' || site || ',"n":' || sum(n) || '}}' as feature from t group by site""")
+@query("k01_features", S.SERIES, """select site,
+'{"type":"Feature","geometry":{"x":' || site || '},"properties":{"site":' || site || ',"n":' || sum(n) || '}}' as feature
+from t group by site""")
 def k01_features(t):
     from rasterloom.sources.sinks import feature
 

@@ -32,50 +32,71 @@ def v02_bounds(t):
 
 
 @query("v04_zonal", S.DOTS, f"""with p as (select pid, x, y from t where value is not null), h as ({IN})
-select poly, cast(count(*) as bigint) as n, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.9), 6) as p90 from h join t using (pid) group by poly""", edges=S.EDGES)
+select poly, cast(count(*) as bigint) as n, round(quantile_cont(value, 0.5), 6) as p50,
+round(quantile_cont(value, 0.9), 6) as p90 from h join t using (pid) group by poly""", edges=S.EDGES)
 def v04_zonal(t, edges):
     return rounded(polygons.zonal(t, edged(edges), "value", (0.5, 0.9)), "p50", "p90")
 
 
 @query("s12_elevation", S.DOTS, f"""with p as (select pid, x, y from t where value is not null), h as ({IN})
-select poly, round(quantile_cont(value, 0.9), 6) as p90, coalesce(quantile_cont(value, 0.9) >= 130, false) as upland from h join t using (pid) group by poly""", edges=S.EDGES)
+select poly, round(quantile_cont(value, 0.9), 6) as p90, coalesce(quantile_cont(value, 0.9) >= 130,
+false) as upland from h join t using (pid) group by poly""", edges=S.EDGES)
 def s12_elevation(t, edges):
     z = polygons.zonal(t, edged(edges), "value", (0.9,))
     return z.select("poly", F.round("p90", 6).alias("p90"), (F.col("p90") >= 130).alias("upland"))
 
 
-@query("v05_area_km2", S.DEGREES, """with k as (select unnest(range(0, 16)) as i), c as (select sqrt(0.0066943799901413165) as e), s as (select poly, (bx - ax) / 16 as dx, sin(radians(ay + (by_ - ay) * i / 16.0)) as s0, sin(radians(ay + (by_ - ay) * (i + 1) / 16.0)) as s1, e from t cross join k cross join c),
-q as (select poly, dx, e, (1 - e * e) * (s0 / (1 - e * e * s0 * s0) + atanh(e * s0) / e) as q0, (1 - e * e) * (s1 / (1 - e * e * s1 * s1) + atanh(e * s1) / e) as q1, (1 - e * e) * (1 / (1 - e * e) + atanh(e) / e) as qp from s)
-select poly, round(abs(sum(dx * (q0 + q1) / 2 / qp)) * radians(1) * 6378137.0 * 6378137.0 * max(qp) / 2 / 1e6, 3) as km2 from q group by poly""")
+@query("v05_area_km2", S.DEGREES, """with k as (select unnest(range(0, 16)) as i), c as (select sqrt(0.0066943799901413165) as e),
+s as (select poly, (bx - ax) / 16 as dx, sin(radians(ay + (by_ - ay) * i / 16.0)) as s0,
+sin(radians(ay + (by_ - ay) * (i + 1) / 16.0)) as s1, e from t cross join k cross join c),
+q as (select poly, dx, e, (1 - e * e) * (s0 / (1 - e * e * s0 * s0) + atanh(e * s0) / e) as q0,
+(1 - e * e) * (s1 / (1 - e * e * s1 * s1) + atanh(e * s1) / e) as q1,
+(1 - e * e) * (1 / (1 - e * e) + atanh(e) / e) as qp from s)
+select poly, round(abs(sum(dx * (q0 + q1) / 2 / qp)) * radians(1) * 6378137.0 * 6378137.0 * max(qp) / 2 / 1e6,
+3) as km2 from q group by poly""")
 def v05_area_km2(t):
     return rounded(polygons.geodesic_area(edged(t)), "km2", digits=3)
 
 
-@query("v06_centroid", S.EDGES, """with w as (select poly, ax * by_ - bx * ay as w, ax + bx as sx, ay + by_ as sy from t), c as (select poly, abs(sum(w)) / 2 as area, sum(sx * w) / (3 * sum(w)) as x, sum(sy * w) / (3 * sum(w)) as y from w group by poly),
-m as (select poly, (sum(ax) + max(case when seq = 1 then ax end)) / 5 as mx, (sum(ay) + max(case when seq = 1 then ay end)) / 5 as my from t group by poly)
-select poly, round(area, 6) as area, round(x, 6) as x, round(y, 6) as y, round(mx, 6) as mx, round(my, 6) as my from c join m using (poly)""")
+@query("v06_centroid", S.EDGES, """with w as (select poly, ax * by_ - bx * ay as w, ax + bx as sx, ay + by_ as sy from t), c as (select poly,
+abs(sum(w)) / 2 as area, sum(sx * w) / (3 * sum(w)) as x, sum(sy * w) / (3 * sum(w)) as y from w group by poly),
+m as (select poly, (sum(ax) + max(case when seq = 1 then ax end)) / 5 as mx, (sum(ay) + max(case
+when seq = 1 then ay end)) / 5 as my from t group by poly)
+select poly, round(area, 6) as area, round(x, 6) as x, round(y, 6) as y, round(mx, 6) as mx, round(my,
+6) as my from c join m using (poly)""")
 def v06_centroid(t):
     e = edged(t)
     mean = polygons.vertex_mean(e).select("poly", F.col("x").alias("mx"), F.col("y").alias("my"))
     return rounded(polygons.shoelace(e).join(mean, "poly"), "area", "x", "y", "mx", "my")
 
 
-@query("j05_footprints", S.DOTS, f"""with p as (select pid, x, y, footprint from t), h as ({IN}), d as (select p.pid, e.poly, {GAP} as d, p.footprint from p cross join edges as e)
-select pid, poly, round(min(d), 5) as distance from (select pid, poly, d from d where d <= footprint union all select pid, poly, 0 from h) group by pid, poly""", edges=S.EDGES)
+@query("j05_footprints", S.DOTS, f"""with p as (select pid, x, y, footprint from t), h as ({IN}), d as (select p.pid, e.poly, {GAP} as d,
+p.footprint from p cross join edges as e)
+select pid, poly, round(min(d), 5) as distance from (select pid, poly, d from d where d <= footprint union all
+select pid, poly, 0 from h) group by pid, poly""", edges=S.EDGES)
 def j05_footprints(t, edges):
     return rounded(polygons.footprint_matches(t, edged(edges), (3.0, 8.0)), "distance", digits=5)
 
 
-@query("j06_near_in_time", S.DOTS, """select t.pid, o.poly, round(sqrt(power(t.x - o.px, 2) + power(t.y - o.py, 2)), 6) as distance from t join places as o on sqrt(power(t.x - o.px, 2) + power(t.y - o.py, 2)) <= 7.3 and abs(t.yr - o.pyr) <= 2""",
-       places="select n_nationkey as poly, cast(10 + n_nationkey % 5 * 20 as double) as px, cast(10 + floor(n_nationkey / 5.0) * 20 as double) as py, cast(2014 + n_nationkey % 11 as int) as pyr from {nation}")
+@query("j06_near_in_time", S.DOTS, """select t.pid, o.poly, round(sqrt(power(t.x - o.px, 2) + power(t.y - o.py, 2)), 6) as distance from t
+join places as o on sqrt(power(t.x - o.px, 2) + power(t.y - o.py, 2)) <= 7.3 and abs(t.yr - o.pyr) <= 2""",
+       places="""select n_nationkey as poly, cast(10 + n_nationkey % 5 * 20 as double) as px,
+cast(10 + floor(n_nationkey / 5.0) * 20 as double) as py, cast(2014 + n_nationkey % 11 as int) as pyr
+from {nation}""")
 def j06_near_in_time(t, places):
     return rounded(polygons.near_in_time(t, places, 7.3, 2), "distance")
 
 
-COVER = """with g as (select unnest(range(-10, 130)) as i), c as (select a.i as i, b.i as j, a.i + 0.5 as x, b.i + 0.5 as y from g as a cross join g as b),
-m as (select e.poly, c.i, c.j from c join t as e on (e.ay > c.y) <> (e.by_ > c.y) and c.x < (e.bx - e.ax) * (c.y - e.ay) / (e.by_ - e.ay) + e.ax group by e.poly, c.i, c.j having count(*) % 2 = 1),
-o as (select distinct i, j from (select e.poly, c.i, c.j from c join others as e on (e.ay > c.y) <> (e.by_ > c.y) and c.x < (e.bx - e.ax) * (c.y - e.ay) / (e.by_ - e.ay) + e.ax group by e.poly, c.i, c.j having count(*) % 2 = 1)),
-f as (select poly, cast(count(*) as bigint) as cells, round(count(o.i) * 1.0 / count(*), 6) as share from m left join o on m.i = o.i and m.j = o.j group by poly) """
+COVER = """with g as (select unnest(range(-10, 130)) as i), c as (select a.i as i, b.i as j, a.i + 0.5 as x,
+b.i + 0.5 as y from g as a cross join g as b),
+m as (select e.poly, c.i, c.j from c
+join t as e on (e.ay > c.y) <> (e.by_ > c.y) and c.x < (e.bx - e.ax) * (c.y - e.ay) / (e.by_ - e.ay) + e.ax
+group by e.poly, c.i, c.j having count(*) % 2 = 1),
+o as (select distinct i, j from (select e.poly, c.i, c.j from c
+join others as e on (e.ay > c.y) <> (e.by_ > c.y) and c.x < (e.bx - e.ax) * (c.y - e.ay) / (e.by_ - e.ay) + e.ax
+group by e.poly, c.i, c.j having count(*) % 2 = 1)),
+f as (select poly, cast(count(*) as bigint) as cells, round(count(o.i) * 1.0 / count(*), 6) as share from m
+left join o on m.i = o.i and m.j = o.j group by poly) """
 
 
 @query("j07_overlap_share", S.EDGES, COVER + "select * from f", others=S.OTHERS)
@@ -88,8 +109,11 @@ def j08_without_copies(t, others):
     return polygons.without_copies(edged(t), edged(others), 1.0).select("poly")
 
 
-@query("a06_union", S.EDGES, """with g as (select unnest(range(-10, 130)) as i), c as (select a.i as i, b.i as j, a.i + 0.5 as x, b.i + 0.5 as y from g as a cross join g as b),
-m as (select e.poly % 5 as site, e.poly, c.i, c.j from c join t as e on (e.ay > c.y) <> (e.by_ > c.y) and c.x < (e.bx - e.ax) * (c.y - e.ay) / (e.by_ - e.ay) + e.ax group by e.poly, c.i, c.j having count(*) % 2 = 1)
+@query("a06_union", S.EDGES, """with g as (select unnest(range(-10, 130)) as i), c as (select a.i as i, b.i as j, a.i + 0.5 as x,
+b.i + 0.5 as y from g as a cross join g as b),
+m as (select e.poly % 5 as site, e.poly, c.i, c.j from c
+join t as e on (e.ay > c.y) <> (e.by_ > c.y) and c.x < (e.bx - e.ax) * (c.y - e.ay) / (e.by_ - e.ay) + e.ax
+group by e.poly, c.i, c.j having count(*) % 2 = 1)
 select site, cast(count(distinct i * 1000 + j) as bigint) as cells from m group by site""")
 def a06_union(t):
     """Area of the union of a site's parts, however they overlap: its cells, each once."""
@@ -105,32 +129,44 @@ def p09_known_points(t):
     return one.union(t.select(F.lit("utm29"), F.round(a - 500000.0, 3), F.round(b, 3)))
 
 
-@query("r05_interior_wide", S.mask(20), """with h as (select t.r, t.c, count(*) as n from t join t as o on o.m and o.r between t.r - 2 and t.r + 2 and o.c between t.c - 2 and t.c + 2 and (o.r - t.r) * (o.r - t.r) + (o.c - t.c) * (o.c - t.c) <= 4 group by t.r, t.c)
+@query("r05_interior_wide", S.mask(20), """with h as (select t.r, t.c, count(*) as n from t
+join t as o on o.m and o.r between t.r - 2 and t.r + 2 and o.c between t.c - 2 and t.c + 2 and (o.r - t.r) * (o.r - t.r) + (o.c - t.c) * (o.c - t.c) <= 4
+group by t.r, t.c)
 select t.r, t.c, coalesce(h.n, 0) = 13 as interior from t left join h on h.r = t.r and h.c = t.c""")
 def r05_interior_wide(t):
     return raster.interior_wide(t, [], "m", 2).select("r", "c", "interior")
 
 
-@query("r06_outlines", S.mask(50), """select t.r, t.c, t.m and (coalesce(a.m <> t.m, false) or coalesce(l.m <> t.m, false)) as one_sided, t.m and not (coalesce(a.m, false) and coalesce(b.m, false) and coalesce(l.m, false) and coalesce(q.m, false)) as eroded from t
-left join t as a on a.r = t.r - 1 and a.c = t.c left join t as b on b.r = t.r + 1 and b.c = t.c left join t as l on l.r = t.r and l.c = t.c - 1 left join t as q on q.r = t.r and q.c = t.c + 1""")
+@query("r06_outlines", S.mask(50), """select t.r, t.c, t.m and (coalesce(a.m <> t.m, false) or coalesce(l.m <> t.m, false)) as one_sided,
+t.m and not (coalesce(a.m, false) and coalesce(b.m, false) and coalesce(l.m, false) and coalesce(q.m,
+false)) as eroded from t
+left join t as a on a.r = t.r - 1 and a.c = t.c left join t as b on b.r = t.r + 1 and b.c = t.c left
+join t as l on l.r = t.r and l.c = t.c - 1 left join t as q on q.r = t.r and q.c = t.c + 1""")
 def r06_outlines(t):
     return raster.edges_eroded(raster.edges_inside(t, [], "m", "one_sided"), [], "m", "eroded").select("r", "c", "one_sided", "eroded")
 
 
-@query("r09_narrow", S.mask(12), """with o as (select dr, dc from (select unnest(range(-2, 3)) as dr) as a cross join (select unnest(range(-2, 3)) as dc) as b where dr * dr * 9 + dc * dc * 9 <= 25),
-e as (select t.r - dr as r, t.c - dc as c from t cross join o where t.m group by 1, 2 having count(*) = (select count(*) from o)), d as (select distinct e.r + dr as r, e.c + dc as c from e cross join o)
-select cast(count(*) as bigint) as pixels, round(count(*) * 9e-4, 6) as ha, round(count(*) * 1.0 / (select count(*) from t where m), 6) as share from t left join d on d.r = t.r and d.c = t.c where t.m and d.r is null""")
+@query("r09_narrow", S.mask(12), """with o as (select dr, dc from (select unnest(range(-2, 3)) as dr) as a cross join (select unnest(range(-2,
+3)) as dc) as b where dr * dr * 9 + dc * dc * 9 <= 25),
+e as (select t.r - dr as r, t.c - dc as c from t cross join o where t.m group by 1, 2
+having count(*) = (select count(*) from o)), d as (select distinct e.r + dr as r, e.c + dc as c from e cross join o)
+select cast(count(*) as bigint) as pixels, round(count(*) * 9e-4, 6) as ha,
+round(count(*) * 1.0 / (select count(*) from t where m), 6) as share from t left
+join d on d.r = t.r and d.c = t.c where t.m and d.r is null""")
 def r09_narrow(t):
     return rounded(raster.narrow(t, [], "m"), "ha", "share")
 
 
-@query("r10_nearest", S.mask(50), """select cast(i as int) as r, cast(j as int) as c, t.value from (select unnest(range(0, 30)) as i) as a cross join (select unnest(range(0, 40)) as j) as b
+@query("r10_nearest", S.mask(50), """select cast(i as int) as r, cast(j as int) as c, t.value from (select unnest(range(0, 30)) as i) as a cross
+join (select unnest(range(0, 40)) as j) as b
 left join t on t.r = floor((i + 0.5) * 15 / 10.0) and t.c = floor((j + 0.5) * 15 / 10.0)""")
 def r10_nearest(t):
     return polygons.nearest_cells(t, "value", 30, 40, 10.0, 0.0, 0.0, 15.0, geodesy.ITM, geodesy.ITM).select("r", "c", "value")
 
 
-FRAMES = "select cast(floor(o_custkey / 30.0) as int) as r, cast(o_custkey % 30 as int) as c, o_orderkey as frame, case when o_totalprice % 7 < 1 then null else round(o_totalprice, 2) end as value, o_totalprice % 3 < 2 as covered, o_totalprice % 5 < 3 as clear from {orders}"
+FRAMES = """select cast(floor(o_custkey / 30.0) as int) as r, cast(o_custkey % 30 as int) as c, o_orderkey as frame, case
+when o_totalprice % 7 < 1 then null else round(o_totalprice, 2) end as value, o_totalprice % 3 < 2 as covered,
+o_totalprice % 5 < 3 as clear from {orders}"""
 
 
 @query("r12_mosaic", FRAMES, "select r, c, arg_min(value, frame) as value from t where value is not null group by r, c")
@@ -150,26 +186,41 @@ def r14_coarse_label(t):
     return g.select(F.col("R").alias("R_"), F.col("C").alias("C_"), raster.coarse_label("mean", "coverage").alias("label"))
 
 
-@query("r15_compared", S.mask(40), """with g as (select floor(r / 2.0) as r, floor(c / 2.0) as c, avg(case when value >= 2 then case when m then 1.0 else 0 end end) as f, count(case when value >= 2 then 1 end) / 4.0 as cov from t group by 1, 2),
-b as (select o.m, coalesce(g.f >= 0.5 and g.cov >= 0.95, false) as f, coalesce(g.cov >= 0.95, false) and o.seen as common from coarse as o left join g on g.r = o.r and g.c = o.c)
-select cast(sum(case when common then 1 else 0 end) as bigint) as support, round(sum(case when f and common then 36e-4 else 0 end), 6) as fine_common_ha, round(sum(case when m and common then 36e-4 else 0 end), 6) as coarse_ha, round(sum(case when f and m and common then 1 else 0 end) * 1.0 / nullif(sum(case when (f or m) and common then 1 else 0 end), 0), 6) as iou,
-cast(sum(case when f and not m and common then 1 else 0 end) as bigint) as only_fine, cast(sum(case when m and not f and common then 1 else 0 end) as bigint) as only_coarse, cast(sum(case when m and f and common then 1 else 0 end) as bigint) as shared from b""",
-       coarse="select cast(floor(event_id / 50.0) as int) as r, cast(event_id % 50 as int) as c, user_id % 2 = 0 as m, user_id % 11 > 0 as seen from {events} where event_id < 2500")
+@query("r15_compared", S.mask(40), """with g as (select floor(r / 2.0) as r, floor(c / 2.0) as c, avg(case when value >= 2 then case
+when m then 1.0 else 0 end end) as f, count(case when value >= 2 then 1 end) / 4.0 as cov from t group by 1, 2),
+b as (select o.m, coalesce(g.f >= 0.5 and g.cov >= 0.95, false) as f, coalesce(g.cov >= 0.95,
+false) and o.seen as common from coarse as o left join g on g.r = o.r and g.c = o.c)
+select cast(sum(case when common then 1 else 0 end) as bigint) as support, round(sum(case
+when f and common then 36e-4 else 0 end), 6) as fine_common_ha, round(sum(case
+when m and common then 36e-4 else 0 end), 6) as coarse_ha, round(sum(case
+when f and m and common then 1 else 0 end) * 1.0 / nullif(sum(case
+when (f or m) and common then 1 else 0 end), 0), 6) as iou,
+cast(sum(case when f and not m and common then 1 else 0 end) as bigint) as only_fine, cast(sum(case
+when m and not f and common then 1 else 0 end) as bigint) as only_coarse, cast(sum(case
+when m and f and common then 1 else 0 end) as bigint) as shared from b""",
+       coarse="""select cast(floor(event_id / 50.0) as int) as r, cast(event_id % 50 as int) as c, user_id % 2 = 0 as m,
+user_id % 11 > 0 as seen from {events} where event_id < 2500""")
 def r15_compared(t, coarse):
     got = raster.compared(t.withColumn("assessed", F.col("value") >= 2), coarse, 3.0, 6.0)
     return rounded(got.select("support", "fine_common_ha", "coarse_ha", "iou", "only_fine", "only_coarse", "shared"), "fine_common_ha", "coarse_ha", "iou")
 
 
-@query("r18_most_central", S.mask(4), """with o as (select dr, dc from (select unnest(range(-1, 2)) as dr) as a cross join (select unnest(range(-1, 2)) as dc) as b), e as (select t.r - dr as r, t.c - dc as c from t cross join o where t.m group by 1, 2 having count(*) = 9),
-f as (select e.* from e where r >= 3 and c >= 3 and r <= (select max(r) from t) - 3 and c <= (select max(c) from t) - 3 and not exists (select 1 from avoid as v where abs(v.r - e.r) <= 2 and abs(v.c - e.c) <= 2)),
-d as (select f.r, f.c, min(sqrt((f.r - t.r) * (f.r - t.r) + (f.c - t.c) * (f.c - t.c))) as distance from f cross join t where not t.m group by f.r, f.c) select cast(r as int) as r, cast(c as int) as c, round(distance, 6) as distance from d order by d.distance desc, r, c limit 1""",
+@query("r18_most_central", S.mask(4), """with o as (select dr, dc from (select unnest(range(-1, 2)) as dr) as a cross join (select unnest(range(-1,
+2)) as dc) as b), e as (select t.r - dr as r, t.c - dc as c from t cross join o where t.m group by 1, 2 having count(*) = 9),
+f as (select e.* from e where r >= 3 and c >= 3 and r <= (select max(r) from t) - 3 and c <= (select max(c)
+from t) - 3 and not exists (select 1 from avoid as v where abs(v.r - e.r) <= 2 and abs(v.c - e.c) <= 2)),
+d as (select f.r, f.c, min(sqrt((f.r - t.r) * (f.r - t.r) + (f.c - t.c) * (f.c - t.c))) as distance from f
+cross join t where not t.m group by f.r, f.c) select cast(r as int) as r, cast(c as int) as c, round(distance,
+6) as distance from d order by d.distance desc, r, c limit 1""",
        avoid="select cast(floor(event_id / 100.0) as int) as r, cast(event_id % 100 as int) as c from {events} where event_id % 401 = 0")
 def r18_most_central(t, avoid):
     return rounded(raster.most_central(t.select("r", "c", "m"), [], "m", avoid, 1, 2, 3), "distance")
 
 
-@query("s06_stack", "select o_custkey as site, cast(o_orderkey % 6 as int) as band_no, o_orderkey as scene, cast(0 as int) as r, cast(o_orderkey % 7 as int) as c, o_totalprice as value from {orders}",
-       "select site, scene, r, c, max(case when band_no = 0 then value end) as b0, max(case when band_no = 3 then value end) as b3 from t group by site, scene, r, c")
+@query("s06_stack", """select o_custkey as site, cast(o_orderkey % 6 as int) as band_no, o_orderkey as scene, cast(0 as int) as r,
+cast(o_orderkey % 7 as int) as c, o_totalprice as value from {orders}""",
+       """select site, scene, r, c, max(case when band_no = 0 then value end) as b0, max(case
+when band_no = 3 then value end) as b3 from t group by site, scene, r, c""")
 def s06_stack(t):
     from rasterloom.sources.readers import bands
 
@@ -183,9 +234,13 @@ def s05_window(t):
     return window(t, 3, 9, 10, 30).select("r", "c", "value")
 
 
-@query("s08_aligned", S.mask(50), """with g as (select i, j, (i + 0.5) * 1.5 - 0.5 as y, (j + 0.5) * 1.5 - 0.5 as x from (select unnest(range(1, 20)) as i) as a cross join (select unnest(range(1, 30)) as j) as b),
-q as (select i, j, t.value as v, case when t.value is not null then (1 - abs(y - t.r)) * (1 - abs(x - t.c)) end as w from g left join t on t.r between floor(y) and floor(y) + 1 and t.c between floor(x) and floor(x) + 1)
-select cast(q.i as int) as r, cast(q.j as int) as c, round(sum(w * v) / nullif(sum(w), 0), 5) as value, max(n.m) as m from q left join t as n on n.r = floor((q.i + 0.5) * 1.5) and n.c = floor((q.j + 0.5) * 1.5) group by q.i, q.j""")
+@query("s08_aligned", S.mask(50), """with g as (select i, j, (i + 0.5) * 1.5 - 0.5 as y, (j + 0.5) * 1.5 - 0.5 as x from (select unnest(range(1,
+20)) as i) as a cross join (select unnest(range(1, 30)) as j) as b),
+q as (select i, j, t.value as v, case
+when t.value is not null then (1 - abs(y - t.r)) * (1 - abs(x - t.c)) end as w from g left join t on t.r between floor(y) and floor(y) + 1 and t.c between floor(x) and floor(x) + 1)
+select cast(q.i as int) as r, cast(q.j as int) as c, round(sum(w * v) / nullif(sum(w), 0), 5) as value,
+max(n.m) as m from q left join t as n on n.r = floor((q.i + 0.5) * 1.5) and n.c = floor((q.j + 0.5) * 1.5)
+group by q.i, q.j""")
 def s08_aligned(t):
     """A frozen grid's cells: bands bilinear, classes nearest."""
     frame = t.sparkSession.range(19 * 29).select((F.floor(F.col("id") / 29) + 1).cast("int").alias("r"), (F.col("id") % 29 + 1).cast("int").alias("c"))
@@ -196,8 +251,13 @@ def s08_aligned(t):
     return value.join(near, ["r", "c"])
 
 
-@query("a16_patch_statistics", S.mask(40), """with recursive n as (select a.tile, a.r, a.c, a.r * 1000000 + a.c as k from t as a where a.m), g as (select k, k as root, tile, r, c from n union select n.k, g.root, n.tile, n.r, n.c from g join n on n.tile = g.tile and abs(n.r - g.r) <= 1 and abs(n.c - g.c) <= 1 where n.k > g.root),
-l as (select k, tile, min(root) as patch from g group by k, tile), z as (select tile, patch, count(*) * 1e-2 as ha from l group by tile, patch) select tile, cast(count(*) as bigint) as patches, round(sum(ha), 6) as ha, round(min(ha), 6) as least, round(quantile_cont(ha, 0.5), 6) as median, round(quantile_cont(ha, 0.9), 6) as p90, round(max(ha), 6) as largest from z group by tile""")
+@query("a16_patch_statistics", S.mask(40), """with recursive n as (select a.tile, a.r, a.c, a.r * 1000000 + a.c as k from t as a where a.m), g as (select k,
+k as root, tile, r, c from n union select n.k, g.root, n.tile, n.r, n.c from g
+join n on n.tile = g.tile and abs(n.r - g.r) <= 1 and abs(n.c - g.c) <= 1 where n.k > g.root),
+l as (select k, tile, min(root) as patch from g group by k, tile), z as (select tile, patch,
+count(*) * 1e-2 as ha from l group by tile, patch) select tile, cast(count(*) as bigint) as patches,
+round(sum(ha), 6) as ha, round(min(ha), 6) as least, round(quantile_cont(ha, 0.5), 6) as median,
+round(quantile_cont(ha, 0.9), 6) as p90, round(max(ha), 6) as largest from z group by tile""")
 def a16_patch_statistics(t):
     z = raster.patch_sizes(raster.labelled(t, ["tile"], "m"), ["tile"]).withColumn("ha", F.col("cells") * 0.01)
     by = z.groupBy("tile").agg(F.count("*").alias("patches"), F.sum("ha").alias("ha"), F.min("ha").alias("least"), F.median("ha").alias("median"), F.percentile("ha", F.lit(0.9)).alias("p90"), F.max("ha").alias("largest"))
@@ -209,7 +269,10 @@ def k09_mosaic_frames(t):
     return rounded(t.groupBy("r", "c").agg(F.avg("value").alias("value"), F.count("value").alias("n")), "value")
 
 
-@query("a18_candidate_cover", S.mask(60), "select tile, cast(sum(case when m then 1 else 0 end) as bigint) as candidates, cast(sum(case when m and value % 3 < 2 then 1 else 0 end) as bigint) as seen, round(sum(case when m and value % 3 < 2 then 1 else 0 end) * 1.0 / nullif(sum(case when m then 1 else 0 end), 0), 6) as cover from t group by tile")
+@query("a18_candidate_cover", S.mask(60), """select tile, cast(sum(case when m then 1 else 0 end) as bigint) as candidates, cast(sum(case
+when m and value % 3 < 2 then 1 else 0 end) as bigint) as seen, round(sum(case
+when m and value % 3 < 2 then 1 else 0 end) * 1.0 / nullif(sum(case when m then 1 else 0 end), 0), 6) as cover
+from t group by tile""")
 def a18_candidate_cover(t):
     from rasterloom.operators.detectors import candidate_cover
 
