@@ -24,6 +24,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -90,33 +91,41 @@ def candidates(entries: DataFrame, parts: int, window: int, most: int, ws: Works
         sketch = np.stack([np.frombuffer(s, np.uint64) for s in table.column("sketch").to_pylist()]) if table.num_rows else np.zeros((0, SKETCH // 64), np.uint64)
         return table.column("id").to_numpy(), sketch, table.column("pass").to_numpy()
 
+    def edge(rows: pa.Table, place: int, size: int, side: int) -> pa.RecordBatch:
+        n = rows.num_rows
+        cols = {"a": rows.column("id").combine_chunks(), "b": rows.column("id").combine_chunks()} | {c: rows.column(c).combine_chunks() for c in ("pass", "code", "sketch")}
+        return pa.RecordBatch.from_pydict(cols | {"place": pa.array(np.full(n, place, np.int32)), "size": pa.array(np.full(n, size, np.int64)), "side": pa.array(np.full(n, side, np.int32))})
+
     def within(batches):
-        held = None  # the last rows of the batch before
-        name = None
+        held, head, size = None, None, 0  # the last rows of the batch before, the partition's first rows, all its rows
         for batch in batches:
             now = pa.Table.from_batches([batch])
-            if name is None and now.num_rows:
-                name = (now.column("pass")[0].as_py(), now.column("code")[0].as_py())
-                head = now.slice(0, window)
+            size += now.num_rows
+            head = now.slice(0, window) if head is None else pa.concat_tables([head, now]).slice(0, window)
             table = pa.concat_tables([held, now]) if held is not None else now
             a, b = near_pairs(*arrays(table), window, most)
-            yield pa.RecordBatch.from_pydict({"a": pa.array(a), "b": pa.array(b), "pass": pa.array(np.full(len(a), -1, np.int32)), "code": pa.array(np.zeros(len(a), np.int64)), "sketch": pa.nulls(len(a), pa.binary())})
+            none = {"pass": np.full(len(a), -1, np.int32), "code": np.zeros(len(a), np.int64), "place": np.full(len(a), -1, np.int32), "size": np.zeros(len(a), np.int64), "side": np.zeros(len(a), np.int32)}
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a), "b": pa.array(b), "pass": pa.array(none["pass"]), "code": pa.array(none["code"]), "sketch": pa.nulls(len(a), pa.binary()), **{c: pa.array(none[c]) for c in ("place", "size", "side")}})
             held = table.slice(max(0, table.num_rows - window))
-        if held is not None and held.num_rows:
-            for edge in (head, held):  # compared with the neighbouring partitions' edges
-                yield pa.RecordBatch.from_pydict({"a": edge.column("id").combine_chunks(), "b": edge.column("id").combine_chunks(), "pass": edge.column("pass").combine_chunks(), "code": edge.column("code").combine_chunks(), "sketch": edge.column("sketch").combine_chunks()})
+        if size:  # compared with the neighbouring partitions' edges: place is the boundary
+            me = TaskContext.get().partitionId()
+            yield edge(head, me, size, 0)
+            yield edge(held, me + 1, size, 1)
 
     def over(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("code", "ascending"), ("id", "ascending")])
+        table = table.sort_by([("pass", "ascending"), ("code", "ascending"), ("id", "ascending")])
         a, b = near_pairs(*arrays(table), window, most)
         return pa.table({"a": a, "b": b})
 
     ranged = entries.repartitionByRange(parts, "pass", "code", "id").sortWithinPartitions("pass", "code", "id")
-    found = ws.save(ranged.mapInArrow(within, "a long, b long, pass int, code long, sketch binary"), "windows")
+    found = ws.save(ranged.mapInArrow(within, "a long, b long, pass int, code long, sketch binary, place int, size long, side int"), "windows")
     inner = found.filter(F.col("pass") < 0).select("a", "b")
-    # at most 2 * window rows from each partition, dealt by pass
-    edges = found.filter(F.col("pass") >= 0).select(F.col("a").alias("id"), "pass", "code", "sketch").dropDuplicates(["pass", "id"])
-    outer = edges.groupBy("pass").applyInArrow(over, "a long, b long")
+    edges = found.filter(F.col("pass") >= 0).select(F.col("a").alias("id"), "pass", "code", "sketch", "place", "size", "side")
+    heads = edges.filter("side = 0").agg(F.countDistinct("place").alias("n"), F.max("place").alias("last"), F.min("size").alias("least")).first()
+    # a window reaches over one boundary at most where every partition holds one; with few rows edges meet by pass
+    apart = heads.n > 0 and heads.n == heads.last + 1 and heads.least >= window
+    edges = edges.dropDuplicates(["place", "pass", "id"] if apart else ["pass", "id"])
+    outer = edges.select("id", "pass", "code", "sketch", "place").groupBy("place" if apart else "pass").applyInArrow(over, "a long, b long")
     return inner.union(outer).filter("a <> b").distinct()
 
 
