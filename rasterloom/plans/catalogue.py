@@ -103,7 +103,7 @@ when coalesce(not ({MNDWI_E} > 0 or swir1 / 10000 < 0.07) and {NDVI_E} < th and
 from t join th using (site, yr) group by site, yr, th""")
 def p15_rules_threshold(t):
     th = measures.adaptive_threshold(t, ["site", "yr"], indices.ratio_eps("nir", "red"), F.lit(True)).select("site", "yr", "threshold")
-    px = t.join(F.broadcast(th), ["site", "yr"])
+    px = t.join(th, ["site", "yr"])
     return rounded(px.groupBy("site", "yr", "threshold").agg(F.count_if(masks.bare_by_rules(F.col("threshold"))).alias("cells")), "threshold")
 
 
