@@ -38,17 +38,22 @@ def pick_clear(scenes: DataFrame, keys: list[str], min_clear: float) -> DataFram
 def composite_order(scenes: DataFrame, month: int, target: str) -> DataFrame:
     """Scenes ordered by season, nearness to a date, cloud and name; one for each day and tile."""
     order = [F.when(F.month("day") == month, 0).otherwise(1), F.abs(F.datediff("day", F.lit(target).cast("date"))), F.col("cloud"), F.col("scene")]
-    return ranked(first_by(scenes, ["day", "tile"], *order), *order, out="rank")
-
-
-def ranked(df: DataFrame, *order: Column, out: str = "rank") -> DataFrame:
-    """Rows numbered from 1 by a total order: ranges sorted on their own, then shifted by the rows before each."""
-    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
-    parts = parts.withColumn("_p", F.shiftright("_id", 33)).withColumn("_i", F.col("_id").bitwiseAND((1 << 33) - 1))
-    sizes = parts.groupBy("_p").agg(F.count("*").alias("_n"))  # a row for each range
+    by = F.when(F.month("day") == month, 0).otherwise(1) * 100_000 + F.abs(F.datediff("day", F.lit(target).cast("date")))
+    return ranked(first_by(scenes, ["day", "tile"], *order), by, *order, out="rank")
+
+
+def ranked(df: DataFrame, by: Column, *order: Column, out: str = "rank", parts: int = 256) -> DataFrame:
+    """Rows numbered from 1 by a total order: stretches of `by`, a number that grows with it, are sorted on their own and
+    shifted by the rows before each. The stretches are of one width between its least and its greatest value, so that
+    every evaluation cuts them alike."""
+    ends = df.agg(F.min(by).cast("double").alias("_lo"), F.max(by).cast("double").alias("_hi"))
+    at = F.floor(F.try_divide((by - F.col("_lo")) * parts, F.col("_hi") - F.col("_lo")))
+    cut = df.crossJoin(F.broadcast(ends)).withColumn("_p", F.when(by.isNull(), -1).otherwise(F.coalesce(F.least(at, F.lit(parts - 1)), F.lit(0))).cast("int")).drop("_lo", "_hi")
+    sizes = cut.groupBy("_p").agg(F.count("*").alias("_n"))  # a row for each stretch
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = cut.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
     shift = sizes.withColumn("_before", before).select("_p", "_before")
-    return parts.join(F.broadcast(shift), "_p").withColumn(out, (F.col("_i") + F.col("_before") + 1).cast("int")).drop("_id", "_p", "_i", "_before")
+    return own.join(F.broadcast(shift), "_p").withColumn(out, (F.col("_i") + F.col("_before")).cast("int")).drop("_p", "_i", "_before")
 
 
 def provided(scenes: DataFrame, provider: str, signed: tuple[str, ...] = ("planetary",)) -> DataFrame:

@@ -474,7 +474,7 @@ floor(every * cast(0.92 as double)) + 1)""")
 def l05_quantile_picks(t):
     every = t.agg(F.count("*").alias("every"))
     at = [(F.floor(F.col("every") * F.lit(q)) + 1) for q in (0.35, 0.92)]
-    ranked = scenes.ranked(t.select("site", "yr", "ha"), F.col("ha"), F.col("site"), F.col("yr"), out="k")
+    ranked = scenes.ranked(t.select("site", "yr", "ha"), F.col("ha"), F.col("ha"), F.col("site"), F.col("yr"), out="k")
     return ranked.crossJoin(F.broadcast(every)).filter(F.col("k").isin(*at)).select("site", "yr", "ha")
 
 

@@ -279,3 +279,15 @@ def a18_candidate_cover(t):
     return rounded(candidate_cover(t.withColumn("ok", F.col("value") % 3 < 2), ["tile"], "m", "ok"), "cover")
 
 
+
+
+@query("v08_simplified", S.EDGES, "select poly, cast(5 as int) as vertices, round(abs(sum(ax * by_ - bx * ay)) / 2, 6) as area from t group by poly")
+def v08_simplified(t):
+    """Rings with the middle of each edge added: these go, and no corner does."""
+    sides = edged(t).groupBy("poly").agg(F.array_sort(F.collect_list(F.struct("seq", "ax", "ay", "bx", "by"))).alias("v"))
+    point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    pairs = F.transform("v", lambda s: F.array(point(s["ax"], s["ay"]), point((s["ax"] + s["bx"]) / 2, (s["ay"] + s["by"]) / 2)))
+    rings = sides.select("poly", F.flatten(pairs).alias("p")).select("poly", F.concat("p", F.slice("p", 1, 1)).alias("ring"))
+    few = rings.select("poly", polygons.simplified("ring", 0.01).alias("ring"))
+    area = F.expr(geodesy.ring_area("ring"))
+    return few.select("poly", F.size("ring").alias("vertices"), F.round(F.abs(area), 6).alias("area"))
