@@ -28,7 +28,7 @@ from rasterloom.llm.common import Workspace
 from rasterloom.llm.vectors import cosine, matrix, units, usable
 
 SAMPLE, CENTRES, PAIR, THRESHOLD, SEED = 8192, 16, 2, 0.2, 11
-ROW_BLOCK, QUERY_BLOCK, DEPTH = 8192, 512, 100
+ROW_BLOCK, QUERY_BLOCK, DEPTH = 8192, 8192, 100
 #: More than the single precision of scores can be off.
 SLACK = 1e-4
 
