@@ -152,6 +152,26 @@ def test_edge_distance_by_brute_force(spark):
         assert x.distance == pytest.approx(np.sqrt(((holes - (x.r, x.c)) ** 2).sum(1).min()))
 
 
+def test_edge_distance_of_awkward_grids(spark):
+    """Keys, gaps, cells without a mask, rows and columns without a hole, a grid without any: brute force over what is there."""
+    rng = np.random.default_rng(3)
+    cells = [(k, int(r), int(c), None if rng.random() < 0.05 else bool(rng.random() < (0.97, 1.1)[k // 4])) for k in range(5) for r in range(0, 40) for c in range(9) if rng.random() < 0.8]
+    df = spark.createDataFrame(cells, "k int, r int, c int, m boolean")
+    got = raster.edge_distance(df, ["k"], "m").collect()
+    assert sorted((x.k, x.r, x.c, str(x.m)) for x in got) == sorted((k, r, c, str(m)) for k, r, c, m in cells)
+    for x in got:
+        holes = [math.dist((r, c), (x.r, x.c)) for k, r, c, m in cells if k == x.k and m is False]
+        assert x.distance == (pytest.approx(min(holes)) if x.m and holes else None)
+
+
+def test_edge_distance_of_a_long_column(spark):
+    """One hole above 60,000 rows: pairs of rows would be 3.6 thousand million, and a squared gap beyond an int."""
+    df = spark.range(120_000).selectExpr("cast(id div 2 as int) as r", "cast(id % 2 as int) as c", "id > 0 as m")
+    far = raster.edge_distance(df, [], "m").orderBy("r", "c").select("distance").collect()
+    assert far[0].distance is None
+    assert all(x.distance == pytest.approx(math.hypot(i // 2, i % 2)) for i, x in enumerate(far) if i)
+
+
 def test_baseline_without_a_dot(spark):
     df = spark.createDataFrame([("4", 1500.0), ("03.01", 1500.0)], "b string, dn double")
     none = F.lit(None).cast("double")
