@@ -143,6 +143,23 @@ def test_mixed_versions_are_an_error(spark):
         review.one_version(one).collect()
 
 
+@pytest.mark.parametrize("name", ["r13_regrid"])
+def test_regrid_of_a_raster_longer_than_the_grid(spark, tmp_path, name):
+    """The query has the cells of its SQL's grid; the operator without a frame has all that the pixels meet."""
+    import duckdb
+
+    from rasterloom.plans import catalogue
+
+    spark.range(133_000, 134_000).selectExpr("id as event_id", "cast(id % 97 as double) as value").write.parquet(f"{tmp_path}/events.parquet")
+    got = catalogue.QUERIES[name](spark, str(tmp_path))
+    with duckdb.connect() as db:
+        db.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+        want = db.execute(f"select {', '.join(got.columns)} from ({catalogue.ORACLES[name]})").fetchall()
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    px = spark.range(133_000, 134_000).selectExpr("cast(id div 100 as int) as r", "cast(id % 100 as int) as c", "1 as m")
+    assert raster.regrid(px, [], "m", 3.0, 10.0).agg(F.sum(F.col("mean") * F.col("coverage")) * 100).first()[0] == pytest.approx(9000)
+
+
 def test_edge_distance_by_brute_force(spark):
     rng = np.random.default_rng(2)
     m = rng.random((14, 17)) < 0.9
