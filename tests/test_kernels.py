@@ -143,7 +143,7 @@ def test_mixed_versions_are_an_error(spark):
         review.one_version(one).collect()
 
 
-@pytest.mark.parametrize("name", ["r13_regrid"])
+@pytest.mark.parametrize("name", ["r13_regrid", "r14_coarse_label"])
 def test_regrid_of_a_raster_longer_than_the_grid(spark, tmp_path, name):
     """The query has the cells of its SQL's grid; the operator without a frame has all that the pixels meet."""
     import duckdb
