@@ -388,7 +388,9 @@ when count(*) > 2 then coalesce(regr_slope(ha, yr), 0) else 0 end as rate from c
 select s.site, round(coalesce(peak, 0), 4) as peak, round(coalesce(newly, 0), 4) as newly,
 round(coalesce(rate, 0), 5) as rate from (select distinct site from t) as s left join d using (site)""")
 def q03_derived(t):
-    return rounded(rounded(atlas.derived(t), "peak", "newly", digits=4), "rate", digits=5)
+    """A slope of four-digit figures over at most seven years that is no half of the fifth digit is 2.5e-8 or more off
+    one, so nine digits first take away what the order of rows adds, and halves go away from zero."""
+    return rounded(rounded(atlas.derived(t), "peak", "newly", digits=4).withColumn("rate", F.round("rate", 9)), "rate", digits=5)
 
 
 PLOTS = """select cast(c_custkey % 250 as int) as site, cast(1995 + c_custkey % 7 as int) as yr, max(case
