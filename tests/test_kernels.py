@@ -170,14 +170,15 @@ def test_edge_distance_by_brute_force(spark):
 
 
 def test_edge_distance_of_awkward_grids(spark):
-    """Keys, gaps, cells without a mask, rows and columns without a hole, a grid without any: brute force over what is there."""
+    """Keys, gaps, cells without a mask or a place, rows and columns without a hole, a grid without any: brute force over what is there."""
     rng = np.random.default_rng(3)
     cells = [(k, int(r), int(c), None if rng.random() < 0.05 else bool(rng.random() < (0.97, 1.1)[k // 4])) for k in range(5) for r in range(0, 40) for c in range(9) if rng.random() < 0.8]
+    cells += [(0, None, 3, False), (0, None, 4, True), (0, 3, None, False), (1, 5, None, True)]
     df = spark.createDataFrame(cells, "k int, r int, c int, m boolean")
     got = raster.edge_distance(df, ["k"], "m").collect()
-    assert sorted((x.k, x.r, x.c, str(x.m)) for x in got) == sorted((k, r, c, str(m)) for k, r, c, m in cells)
+    assert sorted(str((x.k, x.r, x.c, x.m)) for x in got) == sorted(str(x) for x in cells)
     for x in got:
-        holes = [math.dist((r, c), (x.r, x.c)) for k, r, c, m in cells if k == x.k and m is False]
+        holes = [math.dist((r, c), (x.r, x.c)) for k, r, c, m in cells if k == x.k and m is False and None not in (r, c, x.r, x.c)]
         assert x.distance == (pytest.approx(min(holes)) if x.m and holes else None)
 
 
