@@ -6,6 +6,8 @@ in descending order. What is induced for a symbol arrives in its order, so the p
 queue for each symbol; a queue carries suffix tuples (position, common prefix with the one before it). All suffixes
 that wait for a symbol are taken at once. Common prefixes are counted up to a cap: an induced pair shares one symbol more
 than the least common prefix between its parents.
+
+Positions, symbols and common prefixes have 32 bits, and what is done with goes at once: this is what limits a text.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ class Queues:
             file, sizes = self.files.setdefault(symbol, (tempfile.TemporaryFile(), []))  # noqa: SIM115
             for p in parts:
                 file.seek(0, 2)
-                file.write(np.ascontiguousarray(p, np.int64).tobytes())
+                file.write(np.ascontiguousarray(p, np.int32).tobytes())
                 sizes.append(p.shape[1])
                 self.held -= p.shape[1]
 
@@ -47,7 +49,7 @@ class Queues:
         if symbol in self.files:
             file, sizes = self.files.pop(symbol)
             file.seek(0)
-            parts = [np.frombuffer(file.read(16 * n), np.int64).reshape(2, n) for n in sizes]
+            parts = [np.frombuffer(file.read(8 * n), np.int32).reshape(2, n) for n in sizes]
             file.close()
         for p in self.parts.pop(symbol, []):
             parts.append(p)
@@ -62,16 +64,15 @@ def kinds(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Whether each suffix is smaller than the next (S), and the length of the run of its first symbol."""
     n = len(t)
     last = np.append(np.flatnonzero(t[1:] != t[:-1]), n - 1)  # the last place of each run
-    run_end = np.repeat(last, np.diff(np.append(-1, last)))
-    after = np.append(t, -1)[run_end + 1]
-    return after > t, run_end - np.arange(n) + 1
+    many = np.diff(np.append(-1, last))
+    after = np.repeat(np.append(t[1:], t.dtype.type(-1))[last], many)
+    return after > t, (np.repeat(last, many) - np.arange(n) + 1).astype(np.int32)
 
 
 def induce(t: np.ndarray, s_type: np.ndarray, run: np.ndarray, seeds: np.ndarray, seed_lcp: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
     """All suffixes in order and their common prefixes with the one before, from seeds: left-most S suffixes in order."""
-    symbols = np.unique(t)
-    code = np.searchsorted(symbols, t)
-    k = len(symbols)
+    symbols, code = np.unique(t, return_inverse=True)
+    code, k = code.astype(np.int32), len(symbols)
     by = code[seeds]
     first = np.searchsorted(by, np.arange(k + 1))
     large: list[tuple[np.ndarray, np.ndarray]] = []
@@ -90,7 +91,7 @@ def induce(t: np.ndarray, s_type: np.ndarray, run: np.ndarray, seeds: np.ndarray
         carry_now = np.minimum(carry, least[-1])
         if len(order):
             # least over (previous of the symbol, this]
-            value = np.empty(len(order), np.int64)
+            value = np.empty(len(order), np.int32)
             tails = np.minimum.accumulate(lcp[::-1])[::-1]
             for a, b in zip(cuts, np.append(cuts[1:], len(order)), strict=True):
                 places = order[a:b]
@@ -106,7 +107,7 @@ def induce(t: np.ndarray, s_type: np.ndarray, run: np.ndarray, seeds: np.ndarray
                 queues.put(c, before[places], np.minimum(value[a:b] + 1, cap))
         carry[:] = carry_now
 
-    queues, carry, begun = Queues(), np.full(k, cap, np.int64), np.zeros(k, bool)
+    queues, carry, begun = Queues(), np.full(k, cap, np.int32), np.zeros(k, bool)
     for c in range(k):
         mine: list[tuple[np.ndarray, np.ndarray]] = []
         got = queues.take(c)
@@ -114,16 +115,17 @@ def induce(t: np.ndarray, s_type: np.ndarray, run: np.ndarray, seeds: np.ndarray
             mine.append(got)
             push(queues, carry, begun, *got, False)
             got = queues.take(c)
-        at = np.concatenate([np.zeros(0, np.int64), *(m[0] for m in mine)])
-        lcp = np.concatenate([np.zeros(0, np.int64), *(m[1] for m in mine)])
+        at = np.concatenate([np.zeros(0, np.int32), *(m[0] for m in mine)])
+        lcp = np.concatenate([np.zeros(0, np.int32), *(m[1] for m in mine)])
         large.append((at, lcp))
         s, sl = seeds[first[c] : first[c + 1]], seed_lcp[first[c] : first[c + 1]].copy()
         if len(s):
             sl[0] = min(cap, run[at[-1]], run[s[0]]) if len(at) else 0
             push(queues, carry, begun, s, sl, False)
     # S suffixes, largest symbol and suffix first; a tuple's common prefix is with the suffix after it
-    queues, carry, begun = Queues(), np.full(k, cap, np.int64), np.zeros(k, bool)
-    small: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * k
+    queues, carry, begun = Queues(), np.full(k, cap, np.int32), np.zeros(k, bool)
+    none = np.zeros(0, np.int32)
+    small: list[tuple[np.ndarray, np.ndarray]] = [(none, none)] * k
     for c in range(k - 1, -1, -1):
         mine = []
         got = queues.take(c)
@@ -131,18 +133,18 @@ def induce(t: np.ndarray, s_type: np.ndarray, run: np.ndarray, seeds: np.ndarray
             mine.append(got)
             push(queues, carry, begun, *got, True)
             got = queues.take(c)
-        at = np.concatenate([np.zeros(0, np.int64), *(m[0] for m in mine)])
-        lcp = np.concatenate([np.zeros(0, np.int64), *(m[1] for m in mine)])
+        at = np.concatenate([np.zeros(0, np.int32), *(m[0] for m in mine)])
+        lcp = np.concatenate([np.zeros(0, np.int32), *(m[1] for m in mine)])
         small[c] = (at, lcp)
         la, ll = large[c]
         if len(la):
-            down = np.append(min(cap, run[at[-1]], run[la[-1]]) if len(at) else 0, ll[1:][::-1])
+            down = np.append(np.int32(min(cap, run[at[-1]], run[la[-1]]) if len(at) else 0), ll[1:][::-1])
             push(queues, carry, begun, la[::-1], down, True)
     order, common = [], []
     for (la, ll), (sa, sl) in zip(large, small, strict=True):
         order += [la, sa[::-1]]
         ll = ll.copy()
-        up = np.append(0, sl[1:][::-1]) if len(sa) else sl
+        up = np.append(np.int32(0), sl[1:][::-1]) if len(sa) else sl
         if len(ll):
             ll[0] = 0
             if len(sa):
@@ -169,8 +171,8 @@ def doubled(names: np.ndarray, reach: int) -> np.ndarray:
 
 def common_prefix(t: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int) -> np.ndarray:
     """Common prefix of the suffixes at a and b, up to cap."""
-    wide = np.append(t, np.arange(-1, -cap - 2, -1))
-    out = np.zeros(len(a), np.int64)
+    wide = np.append(t, np.arange(-1, -cap - 2, -1, t.dtype))
+    out = np.zeros(len(a), np.int32)
     live = np.arange(len(a))
     for j in range(cap):
         x, y = a[live] + j, b[live] + j
@@ -187,44 +189,28 @@ def suffix_order(t: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
 
     t holds symbols >= 0; its end counts as smaller than any symbol.
     """
-    t = t.astype(np.int64)
     n = len(t)
+    if n >= np.iinfo(np.int32).max - 1 or n and int(t.max()) >= np.iinfo(np.int32).max - 1:
+        raise ValueError("positions and symbols have 32 bits")
+    t = t.astype(np.int32)
     if n < 2:
-        return np.arange(n), np.zeros(n, np.int64)
-    s_type, run = kinds(t)
-    lms = leftmost(s_type)
-    if not len(lms):
+        return np.arange(n), np.zeros(n, np.int32)
+    if not len(leftmost(kinds(t)[0])):
         # one descending slope after at most one ascending: induce from nothing but the end
         order = doubled(np.unique(t, return_inverse=True)[1], n)
-        lcp = np.append(0, common_prefix(t, order[:-1], order[1:], cap))
+        lcp = np.append(np.int32(0), common_prefix(t, order[:-1], order[1:], cap))
         return order, lcp
     # the last suffix is L and nothing induces it: an end mark, smaller than all, does
-    t1 = np.append(t + 1, 0)
-    s_type, run = np.append(s_type, True), np.append(run, 1)
-    s_type[n - 1] = False
-    s_type[:-1], run[:-1] = kinds(t1)[0][:-1], kinds(t1)[1][:-1]
-    lms = leftmost(s_type)
+    t1 = np.append(t + np.int32(1), np.int32(0))
+    s_type, run = kinds(t1)
+    s_type[n], s_type[n - 1] = True, False
+    lms = leftmost(s_type).astype(np.int32)
     by_first = lms[np.argsort(t1[lms], kind="stable")]
-    rough, _ = induce(t1, s_type, run, by_first, np.zeros(len(lms), np.int64), cap)
+    ordered = induce(t1, s_type, run, by_first, np.zeros(len(lms), np.int32), cap)[0]
     is_lms = np.zeros(n + 1, bool)
     is_lms[lms] = True
-    ordered = rough[is_lms[rough]]
-    # names: equal where the substrings up to the next left-most S place, included, are equal
-    nxt = np.append(lms[1:], n)
-    length = np.zeros(n + 1, np.int64)
-    length[lms] = nxt - lms + 1
-    power = np.ones(n + 2, np.uint64)
-    power[1:] = np.uint64(0x9E3779B97F4A7C15)
-    power = np.multiply.accumulate(power)
-    mixed = (t1.astype(np.uint64) + np.uint64(7)) * np.uint64(0xD6E8FEB86659FD93)
-    mixed ^= mixed >> np.uint64(31)
-    sums = np.append(np.uint64(0), np.cumsum(mixed * power[: n + 1], dtype=np.uint64))
-    ends = np.minimum(ordered + length[ordered], n + 1)
-    hashed = (sums[ends] - sums[ordered]) * power[n + 1 - ordered]
-    fresh = np.append(True, (hashed[1:] != hashed[:-1]) | (length[ordered][1:] != length[ordered][:-1]))
-    name = np.zeros(n + 1, np.int64)
-    name[ordered] = np.cumsum(fresh) - 1
-    names = name[lms]
+    ordered = ordered[is_lms[ordered]]
+    names = named(t1, lms, ordered)
     top = int(names.max()) + 1
     if top == len(lms):
         sorted_lms = ordered
@@ -232,7 +218,32 @@ def suffix_order(t: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
         sorted_lms = lms[suffix_order(names, cap)[0]]
     else:  # a round of Python for each of very many names costs more than doubling
         sorted_lms = lms[doubled(names, cap)]
-    lcp = np.append(0, common_prefix(t1, sorted_lms[:-1], sorted_lms[1:], cap))
+    del by_first, ordered, is_lms, names
+    lcp = np.append(np.int32(0), common_prefix(t1, sorted_lms[:-1], sorted_lms[1:], cap))
     order, common = induce(t1, s_type, run, sorted_lms, lcp, cap)
     keep = order < n
     return order[keep], common[keep]
+
+
+def named(t: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Names of the substrings from each left-most S place up to the next, included: equal where these are equal."""
+    n = len(t) - 1
+    length = np.zeros(n + 1, np.int32)
+    length[lms] = np.append(lms[1:], np.int32(n)) - lms + 1
+    power = np.full(n + 2, 0x9E3779B97F4A7C15, np.uint64)
+    power[0] = 1
+    np.multiply.accumulate(power, out=power)
+    sums = np.zeros(n + 2, np.uint64)
+    mixed = sums[1:]
+    mixed[:] = t
+    mixed += np.uint64(7)
+    mixed *= np.uint64(0xD6E8FEB86659FD93)
+    mixed ^= mixed >> np.uint64(31)
+    mixed *= power[: n + 1]
+    np.cumsum(mixed, out=mixed)
+    ends = np.minimum(ordered + length[ordered], n + 1)
+    hashed = (sums[ends] - sums[ordered]) * power[n + 1 - ordered]
+    fresh = np.append(True, (hashed[1:] != hashed[:-1]) | (length[ordered][1:] != length[ordered][:-1]))
+    name = np.zeros(n + 1, np.int32)
+    name[ordered] = np.cumsum(fresh) - 1
+    return name[lms]

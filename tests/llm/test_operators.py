@@ -5,9 +5,11 @@ import hashlib
 import math
 import os
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("rasterloom.llm")
@@ -144,6 +146,88 @@ def test_suffix_order_beyond_memory_bound():
         assert a <= b and lcp[k] == len(os.path.commonprefix([a, b]))
 
 
+def repeats(rows, length=100):
+    """Per document, which bytes a string that starts earlier covers; rows are (id, start, bytes) by id and start."""
+    seen, out = set(), collections.defaultdict(set)
+    for i, at, b in rows:
+        for k in range(len(b) - length + 1):
+            w = b[k : k + length]
+            if w in seen:
+                out[i].update(range(at + k, at + k + length))
+            seen.add(w)
+    return out
+
+
+def around(rng, n, passage):
+    """Texts with one passage in the middle, what is beside it partly shared."""
+    pool = lambda many, size: [rng.integers(97, 123, size, np.uint8).tobytes() for _ in range(many)]
+    left, inner, right = pool(n // 3, 50), pool(12, 26), pool(n // 40, 76)
+    pick = lambda x: x[int(rng.integers(len(x)))]
+    return [pick(left) + pick(inner) + passage + pick(right) for _ in range(n)]
+
+
+def shard_of(texts_, value):
+    sizes = np.array([len(t) for t in texts_], np.int64)
+    blob = lambda x: pa.array([x], pa.binary())
+    ids, none = np.arange(len(texts_), dtype=np.int64), np.zeros(len(texts_), np.int64)
+    return pa.table({"shard": [0], "bytes": blob(b"".join(texts_)), "sizes": blob(sizes.tobytes()), "values": blob(value.tobytes()), "ids": blob(ids.tobytes()), "starts": blob(none.tobytes()), "done": pa.array([None], pa.binary())})
+
+
+def test_suffix_parts_are_bounded(monkeypatch):
+    """A value whose distinct strings are several parts large is parted, and loses no repeat."""
+    texts_ = around(np.random.default_rng(4), 18_000, b"twenty-four bytes of it!")
+    sorted_ = []
+    order = suffix_dedup.suffix_order
+    monkeypatch.setattr(suffix_dedup, "suffix_order", lambda t, cap: sorted_.append(len(t)) or order(t, cap))
+    found = suffix_dedup.later(shard_of(texts_, np.full(len(texts_), 7, np.uint64)), 100).to_pylist()
+    got = collections.defaultdict(set)
+    for r in found:
+        got[r["doc_id"]].update(range(r["s"], r["e"]))
+    assert got == repeats([(i, 0, t) for i, t in enumerate(texts_)])
+    assert sum(len(t) for t in texts_) > 3 << 20 and max(sorted_) <= 2 << 20
+
+
+def test_suffix_parts_of_long_repetitions(monkeypatch):
+    """Strings that no inner string tells apart: periods of other lengths, and near copies of them."""
+    monkeypatch.setattr(suffix_dedup, "PART", 1 << 14)
+    rng = np.random.default_rng(7)
+    texts_ = [b"x" * n for n in range(150, 230)] + [b"a line that comes back. " * 12 + rng.integers(97, 123, 30, np.uint8).tobytes() for _ in range(80)] + [(b"ab " * 200)[:n] for n in range(300, 380)]
+    sorted_ = []
+    order = suffix_dedup.suffix_order
+    monkeypatch.setattr(suffix_dedup, "suffix_order", lambda t, cap: sorted_.append(len(t)) or order(t, cap))
+    got = collections.defaultdict(set)
+    for r in suffix_dedup.later(shard_of(texts_, np.full(len(texts_), 7, np.uint64)), 100).to_pylist():
+        got[r["doc_id"]].update(range(r["s"], r["e"]))
+    assert got == repeats([(i, 0, t) for i, t in enumerate(texts_)])
+    assert max(sorted_, default=0) <= 1 << 15
+
+
+def test_suffix_order_of_a_shard_takes_little_memory():
+    """Two tasks of an executor order a shard each beside its heap."""
+    rng = np.random.default_rng(5)
+    texts_ = [t for k in range(60) for t in around(rng, 400, rng.integers(97, 123, 24, np.uint8).tobytes())]
+    table = shard_of(texts_, np.repeat(np.arange(60, dtype=np.uint64), 400))
+    tracemalloc.start()
+    suffix_dedup.later(table, 100)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(len(t) for t in texts_) > suffix_dedup.SHARD and most < 160e6
+
+
+def test_suffix_values_of_very_many_runs_are_parted(spark):
+    texts_ = around(np.random.default_rng(6), 5000, b"the same forty bytes in each of these ..")
+    docs = spark.createDataFrame(list(enumerate(t.decode() for t in texts_)), "doc_id long, text string").repartition(8)
+    kept = suffix_dedup.described(docs, 100, 4).cache()
+    bits = kept.filter("bucket >= 0").select("slice", "bucket", "values", "tags").groupBy("bucket").applyInArrow(suffix_dedup.shared_values, "slice long, bucket int, hit binary, levels binary")
+    found = kept.select("slice", "bucket", "docs", "starts", "windows", "values").groupBy("slice").cogroup(bits.groupBy("slice")).applyInArrow(suffix_dedup.kept_runs, "doc_id long, starts binary, windows binary, values binary, levels binary")
+    before = collections.Counter(v for r in found.collect() for v in np.frombuffer(r["values"], np.uint64).tolist())
+    after = collections.Counter(v for r in suffix_dedup.strings(docs.join(found, "doc_id"), 64, 100).collect() for v in np.frombuffer(r["values"], np.uint64).tolist())
+    kept.unpersist()
+    assert max(before.values()) > 3000 and max(after.values()) < 1000
+    want = repeats(list(zip(range(5000), [0] * 5000, texts_, strict=True)))
+    assert {r.doc_id: r.n_removed for r in suffix_dedup.dedup(docs).collect()} == {i: len(want[i]) for i in range(5000)}
+
+
 BASE = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
 
 
